@@ -24,6 +24,7 @@ def build_session(master: str = "local[*]", app: str = "lodeseam", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
     }
     for key, value in (defaults | conf).items():
