@@ -5,9 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import lookalike, mix, pack, split, tokens
+from lodeseam.llm import lookalike, mix, neighbours, pack, split, tokens
 from lodeseam.session import table
 
+#: Share of all cells searched for the nearest of vectors that have no near pair: isotropic noise in 64 dimensions.
+WIDE_PROBES = 0.25
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "doc_index").select("id", "embedding", "embedding_valid")
+    return neighbours.usable(rows, "embedding", 64, "embedding_valid").dropDuplicates(["id"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(_vectors(spark, d), "id", "embedding", least=0.9)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every hundredth id among all rows; noise needs a far wider search than near pairs."""
+    return neighbours.nearest(_vectors(spark, d), "id", "embedding", probes=WIDE_PROBES, asks=F.col("id") % 100 == 0)
+
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     """The rows of doc_index whose content is too long, once per id, in pieces."""
@@ -64,6 +82,6 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_look_alikes(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "unified")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_unified)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_unified)}
 
 SQL: dict[str, str] = {}
