@@ -23,7 +23,7 @@ TREES, PROBES = 4, 6
 #: The trees are split until a cell holds about so many of all rows.
 CELL_ROWS = 1500
 #: At most so many rows are sampled to fit the trees; all rows are indexed and searched.
-FIT_ROWS = 50_000
+FIT_ROWS = 20_000
 #: A cell with more rows than this is searched by several tasks, each with a part of the queries.
 BLOCK_ROWS = 8192
 
@@ -102,7 +102,8 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, lea
     """
     v = F.col(f"`{vector}`").cast("array<float>")
     ask = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
-    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), v.alias("v"), ask.alias("ask")).withColumns({"d": F.xxhash64("v"), "e": F.hash("v")})
+    rows = cut_lineage(df.select(F.col(f"`{key}`").cast("bigint").alias("id"), v.alias("v"), ask.alias("ask")))
+    rows = rows.withColumns({"d": F.xxhash64("v"), "e": F.hash("v")})
     # equal vectors: one stands for all; the k + 1 smallest keys suffice as neighbours of anything
     classes = rows.groupBy("d", "e").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     copies = cut_lineage(classes.where("n > 1").select("d", "e", "n", "rep"))
@@ -121,11 +122,12 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, lea
     depth = math.ceil(math.log2(n / CELL_ROWS)) if n > CELL_ROWS else 0
     share = min(1.0, FIT_ROWS / n)
     chosen = reps.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("v").limit(FIT_ROWS).toPandas()
-    sample = _unit(np.array(chosen["v"].tolist(), dtype=np.float64).reshape(-1, dim))
+    sample = _unit(np.stack(chosen["v"].to_numpy()).astype(np.float64) if len(chosen) else np.empty((0, dim)))
     depth = min(depth, int(math.log2(len(sample)))) if len(sample) else 0
     forest = Forest(sample, depth, trees)
     # a cell whose share of the sample promises more than BLOCK_ROWS rows is indexed in parts
-    held = np.bincount(forest.queue(sample.astype(np.float32), 1)[0].ravel(), minlength=forest.trees * forest.cells) if len(sample) else np.ones(trees)
+    homes = [forest.queue(sample[lo : lo + 2048].astype(np.float32), 1)[0].ravel() for lo in range(0, len(sample), 2048)]
+    held = np.bincount(np.concatenate(homes), minlength=forest.trees * forest.cells)
     parts = np.maximum(1, np.ceil(held * (n / max(1, len(sample))) / BLOCK_ROWS)).astype(np.int64)
 
     taken = max(forest.trees, math.ceil(probes * forest.trees * forest.cells) if isinstance(probes, float) else probes)

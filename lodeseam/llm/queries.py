@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import lookalike, mix, neighbours, pack, split, tokens
+from lodeseam.llm import lookalike, mix, neardup, neighbours, pack, split, tokens
 from lodeseam.session import table
 
 #: Share of all cells searched for the nearest of vectors that have no near pair: isotropic noise in 64 dimensions.
@@ -41,6 +41,20 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("id", "piece_no", "piece_start", "piece_page", "piece")
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of one document level, scanned pages aside, by runs of three words and a similarity of 0.6 (TESTDATA.md)."""
+    rows = table(spark, d, "doc_index").where((F.col("level") == 1) & ~F.coalesce(F.lower("doc_type") == "pdf_ocr", F.lit(False)))
+    return neardup.near_duplicates(rows.select("id", "content").dropDuplicates(["id"]), "id", "content", threshold=0.6, width=3, least_words=40)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.all_pairs(*_near(spark, d))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.duplicate_groups(*_near(spark, d))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -82,6 +96,6 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_look_alikes(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "unified")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_unified)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_unified)}
 
 SQL: dict[str, str] = {}
