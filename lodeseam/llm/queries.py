@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import lookalike, mix, neardup, neighbours, pack, qa_defects, split, tokens
+from lodeseam.llm import lookalike, mix, neardup, neighbours, ocr, pack, qa_defects, split, tokens
 from lodeseam.session import table
 
 #: Share of all cells searched for the nearest of vectors that have no near pair: isotropic noise in 64 dimensions.
@@ -59,6 +59,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return qa_defects.find_defects(table(spark, d, "synthetic_qa").select("id", "question", "answer").distinct()).distinct()
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "doc_index").select("id", "source", "page", "doc_type", "content")
+    return ocr.repair_pages(rows.where(F.lower("doc_type") == "pdf_ocr"), rows)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("id", F.explode("kinds").alias("kind"))
+
+
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("id", F.array_join("kinds", ",").alias("kinds"), "text")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -100,6 +113,6 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_look_alikes(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "unified")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_unified)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_found, p7_text, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_unified)}
 
 SQL: dict[str, str] = {}
