@@ -32,6 +32,8 @@ COMMON_SHARE = 1e-4
 #: fewer times do for a confusion that explains at least USUAL of all misread words.
 RATIO, LEAST = 20.0, 5
 USUAL, USUAL_RATIO, USUAL_LEAST = 0.02, 4.0, 3
+#: Occurrences by which a word's pairs are damped.
+PAIR_PRIOR = 50
 #: A running head stands on at least so many pages of its source.
 HEAD_PAGES = 3
 #: Lines at the top and the foot of a page that may be running heads or page numbers.
@@ -39,7 +41,7 @@ MARGIN = 2
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
-_EOL = re.compile(r"\r\n|[\n\r\f\v\x85  ]")
+_EOL = re.compile(r"\r\n|[\n\r\f\v\x85\u2028\u2029]")
 _HYPHEN = "-­‐¬‑"
 _BREAK = re.compile(rf"([^\W\d_]+)([{_HYPHEN}])[ \t ]*$")
 _NEXT = re.compile(r"[ \t ]*([^\W\d_]+)")
@@ -339,8 +341,8 @@ def decode(options: list[list[tuple[str, float, float]]], pair: dict[int, int],
             ways = []
             for (s, path), (v, nv, _) in zip(best, options[i - 1], strict=True):
                 c = pair.get(bigram_hash(hash_of(v), h), 0)
-                # seen pairs outweigh the word's own frequency
-                step = math.log(0.7 * c / max(nv, c, 1) + 0.3 * (n + 0.5) / total)
+                # seen pairs outweigh the word's own frequency, but not those of a rare word, which may be misread pairs
+                step = math.log(0.7 * c / (max(nv, c) + PAIR_PRIOR) + 0.3 * (n + 0.5) / total)
                 ways.append((s + math.log(p) + step, [*path, j]))
             now.append(max(ways))
         best = now

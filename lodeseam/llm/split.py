@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2048, 100
 
-_EOL = r"(?>\r\n|[\n\r\u000B\u0085  ])"
+_EOL = r"(?>\r\n|[\n\r\u000B\u0085\u2028\u2029])"
 #: The boundaries that rank as natural, strongest first, each adding to those before it.
 LEVELS = (
     ("paragraph", rf"\f|{_EOL}[ \t]*{_EOL}"),
@@ -28,7 +28,7 @@ def piece_pattern(core: int) -> str:
         (
             rf".{{1,{core}}}\z",
             some + r"(?:(?<=\f)|(?<=\n[ \t]{0,32}\r?\n)|(?<=\r[ \t]{0,32}\r)(?!\n))",
-            some + r"(?:(?<=[\n\u000B\u0085  ])|(?<=\r)(?!\n))",
+            some + r"(?:(?<=[\n\u000B\u0085\u2028\u2029])|(?<=\r)(?!\n))",
             some + r"(?<=[.!?]\s)",
             rf".{{1,{core}}}(?<=\s)",
             rf".{{1,{core}}}",
