@@ -38,6 +38,6 @@ def quality_gate_stream(spark, d):
 QUERIES = {"ingest_stream": ingest_stream, "quality_gate_stream": quality_gate_stream}
 SQL = {
     "ingest_stream": "select distinct sha256(coalesce(text, '')) doc_hash from documents",
-    "quality_gate_stream": "with m as (select user_id::varchar as \"session\", event_id id, round(avg(least(1.0::double, value / 100)) over (partition by user_id order by event_id rows between 9 preceding and current row), 6) mean from events) "
+    "quality_gate_stream": "with m as (select user_id::varchar as \"session\", event_id id, round(avg(least(1.0::double, value / 100)) over (partition by user_id order by event_id rows between 9 preceding and current row), 9) mean from events) "
     "select \"session\", id, mean, coalesce(last_value(case when mean < 0.5 then true when mean > 0.7 then false end ignore nulls) over (partition by \"session\" order by id rows between unbounded preceding and current row), false) degraded from m",
 }

@@ -21,7 +21,7 @@ def quality_gate_stream(scores: DataFrame) -> DataFrame:
         out = []
         for r in rows.itertuples():
             last = [*last, float(r.score)][-ROLLING:]
-            mean = round(sum(last) / len(last), 6)
+            mean = round(sum(last) / len(last), 9)
             degraded = True if mean < DEGRADED else False if mean > RECOVERED else degraded
             out.append((key[0], r.id, mean, degraded))
         state.update((last, degraded))
