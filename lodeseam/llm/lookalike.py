@@ -11,11 +11,14 @@ import sys
 import unicodedata
 from collections import Counter
 from functools import cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseam.session import cut_lineage
+
 # Letters of other alphabets and the Latin letters of the same shape.
 SAME_SHAPE = {
     # Cyrillic
@@ -124,28 +127,34 @@ def base_forms() -> dict[str, str]:
     return out
 
 
-@cache
-def _base_table() -> dict[int, str]:
-    return {ord(k): v for k, v in base_forms().items()}
+class Tables(NamedTuple):
+    """What the workers need: the base of single code points, and all members of each class by its base."""
 
+    base: dict[int, str]
+    variants: dict[str, list[str]]
 
-def base_string(text: str) -> str:
-    """Equal for two texts exactly if they look the same."""
+
+def _base(text: str, table: dict[int, str]) -> str:
     if text.isascii() and text.isprintable():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text.translate(_base_table())).translate(_base_table()))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text.translate(table)).translate(table))
 
 
 @cache
-def variants() -> dict[str, list[str]]:
-    """Base string of each class to all its members, whatever code points they use."""
-    out: dict[str, list[str]] = {}
+def tables() -> Tables:
+    """Built once on the driver from all of Unicode, and shipped with the tasks; their size is bounded by it."""
+    base = {ord(k): v for k, v in base_forms().items()}
+    variants: dict[str, set[str]] = {}
     for members in look_alikes().classes():
         for m in members:
-            b = base_string(m)
-            if b and m not in out.setdefault(b, []):
-                out[b].append(m)
-    return {b: sorted({*v, b}) for b, v in out.items()}
+            if b := _base(m, base):
+                variants.setdefault(b, {b}).add(m)
+    return Tables(base, {b: sorted(v) for b, v in variants.items()})
+
+
+def base_string(text: str) -> str:
+    """Equal for two texts exactly if they look the same."""
+    return _base(text, tables().base)
 
 
 def count_forms(docs: DataFrame, text: str) -> DataFrame:
@@ -155,8 +164,9 @@ def count_forms(docs: DataFrame, text: str) -> DataFrame:
     and spellings in Unicode, so the result is bounded whatever the corpus.
     """
 
+    longer = [m for v in tables().variants.values() for m in v if len(m) > 1]
+
     def count(batches):
-        longer = [m for v in variants().values() for m in v if len(m) > 1]
         import ahocorasick
 
         auto = ahocorasick.Automaton()
@@ -174,12 +184,12 @@ def count_forms(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("t")).mapInPandas(count, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def representatives(counts: dict[str, int]) -> dict[str, str]:
+def representatives(counts: dict[str, int], variants: dict[str, list[str]]) -> dict[str, str]:
     """Base string of each class to its most frequent member; ties prefer the composed, then the smaller form."""
-    return {b: max(v, key=lambda m: (counts.get(m, 0), -len(m), [-ord(x) for x in m])) for b, v in variants().items()}
+    return {b: max(v, key=lambda m: (counts.get(m, 0), -len(m), [-ord(x) for x in m])) for b, v in variants.items()}
 
 
-def rewriter(counts: dict[str, int]):
+def rewriter(counts: dict[str, int], of: Tables | None = None):
     """A function that rewrites a text to its one form.
 
     The automaton holds every member of every class that is not its representative; it rewrites leftmost and
@@ -188,7 +198,8 @@ def rewriter(counts: dict[str, int]):
     """
     import ahocorasick
 
-    rep = {b: r for b, r in representatives(counts).items() if b != r}
+    of = of or tables()
+    rep = {b: r for b, r in representatives(counts, of.variants).items() if b != r}
     auto = ahocorasick.Automaton()
     for b, r in rep.items():
         auto.add_word(b, (len(b), r))
@@ -196,7 +207,7 @@ def rewriter(counts: dict[str, int]):
     ascii_only = [b for b in rep if b.isascii()]
 
     def rewrite(text: str) -> str:
-        base = base_string(text)
+        base = _base(text, of.base)
         if not rep or (base.isascii() and not ascii_only):
             return base
         out, at = [], 0
@@ -219,12 +230,13 @@ def unify_look_alikes(docs: DataFrame, text: str = "text") -> DataFrame:
     bounded by Unicode and go to the workers with the task. A column named ``unified`` is replaced.
     """
     counts = {r["form"]: r["n"] for r in count_forms(docs, text).collect()}
-    known = {m for v in variants().values() for m in v}
+    of = tables()
+    known = {m for v in of.variants.values() for m in v}
     counts = {k: v for k, v in counts.items() if k in known}
 
     @F.pandas_udf("string")
     def unify(s: pd.Series) -> pd.Series:
-        rewrite = rewriter(counts)
+        rewrite = rewriter(counts, of)
         return pd.Series([None if t is None else rewrite(t) for t in s], dtype="object")
 
     return docs.withColumn("unified", unify(F.col(f"`{text}`")))
@@ -244,6 +256,7 @@ def look_alike_pairs(classes: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Classes of one string only never reach the join, whose rows are the result itself.
     """
+    classes = cut_lineage(classes)  # read three times
     several = classes.groupBy("class_id").agg(F.count_distinct("variant").alias("n")).where("n > 1").select("class_id")
     c = classes.join(several, "class_id", "left_semi")
     a = c.select("class_id", F.col(key).alias("a"), F.col("variant").alias("va"))
