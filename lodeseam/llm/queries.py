@@ -56,7 +56,8 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return qa_defects.find_defects(table(spark, d, "synthetic_qa").select("id", "question", "answer").distinct()).distinct()
+    # rows delivered twice have the same defect; only the few defective ones are compared
+    return qa_defects.find_defects(table(spark, d, "synthetic_qa").select("id", "question", "answer")).distinct()
 
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -115,4 +116,22 @@ def p10_unified(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_found, p7_text, p8_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_unified)}
 
-SQL: dict[str, str] = {}
+_WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{85}]"
+_E = r"[\n\r\x0b\x{85}\x{2028}\x{2029}]"
+
+
+def _longest(pieces: str) -> str:
+    return f"list_max(list_transform({pieces}, lambda x: length(regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g'))))"
+
+
+SQL: dict[str, str] = {
+    "p2_found": "with v as (select distinct on (id) id, embedding::double[] v from doc_index where embedding_valid and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0), "
+    "p as (select a.id a, b.id b, round(list_cosine_similarity(a.v, b.v), 9) c from v a join v b on a.id <> b.id), n as (select *, row_number() over (partition by a order by c desc, b) r from p where c >= 0.9) "
+    "select distinct least(a, b) id_a, greatest(a, b) id_b from n where r <= 5",
+    "p4_found": f"with t as (select distinct id, replace(content, chr(13) || chr(10), chr(10)) c from doc_index where length(content) > 2048) select id, "
+    + f"case when {_longest(f"regexp_split_to_array(c, '\\f|{_E}[ \\t]*{_E}')")} <= 2048 then 'paragraph' when {_longest(f"regexp_split_to_array(c, '\\f|{_E}')")} <= 2048 then 'line' "
+    + f"when {_longest(f"regexp_split_to_array(regexp_replace(c, '([.!?]){_WS}', '\\1' || chr(1), 'g'), '\\f|{_E}|\\x01')")} <= 2048 then 'sentence' when {_longest(f"regexp_split_to_array(c, '{_WS}+')")} <= 2048 then 'word' else 'forced' end cut from t",
+    "p5_found": r"with w as (select distinct id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') w from doc_index where level = 1 and lower(doc_type) is distinct from 'pdf_ocr'), "
+    "s as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] s from (select id, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 40)), n as (select id, count(*) n from s group by 1), "
+    "b as (select a.id id_a, b.id id_b, count(*) c from s a join s b on a.s = b.s and a.id < b.id group by 1, 2) select id_a, id_b from b join n x on x.id = id_a join n y on y.id = id_b where c / (x.n + y.n - c) >= 0.6",
+}
