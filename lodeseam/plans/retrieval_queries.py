@@ -157,6 +157,28 @@ def _texts(spark, d, hits: DataFrame) -> DataFrame:
     return hits.join(_index(spark, d, F.col("content").alias("text"), "source", "page"), "id").join(_questions(spark, d), "query_id")
 
 
+_CITE = "'• ' || regexp_extract(replace(source, '\\', '/'), '[^/]*$') || case when page <> 0 then ', p.' || page else '' end"
+_PLAIN = "source || case when page is not null then ' (page ' || page || ')' else '' end"
+
+
+@query(
+    f"with {_fused_sql(15, 'level is distinct from 0')}, e as (select query_id, {_CITE} entry, min(\"rank\") first from hy join {IX.format('source, page')} using (id) group by 1, 2) "
+    "select query_id, string_agg(entry, chr(10) order by first, entry) citations from e group by 1"
+)
+def source_citations(spark, d):
+    """The sources of each question's hits, in the order in which they are first met."""
+    h = _hybrid(spark, d, 15).join(_index(spark, d, "source", "page"), "id")
+    each = h.groupBy("query_id", text.citation(F.col("source"), F.col("page")).alias("entry")).agg(F.min("rank").alias("first"))
+    return each.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("first", "entry"))).getField("entry"), "\n").alias("citations"))
+
+
+@query(f"with {_fused_sql(15, 'level is distinct from 0')} select query_id, string_agg(s, '; ' order by s) sources from (select distinct query_id, {_PLAIN} s from hy join {IX.format('source, page')} using (id)) group by 1")
+def legacy_sources(spark, d):
+    s = F.concat("source", F.when(F.col("page").isNotNull(), F.concat(F.lit(" (page "), F.col("page").cast("string"), F.lit(")"))).otherwise(""))
+    each = _hybrid(spark, d, 15).join(_index(spark, d, "source", "page"), "id").select("query_id", s.alias("s")).distinct()
+    return each.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("s")), "; ").alias("sources"))
+
+
 _F1 = f"(2.0::double * len(list_intersect(list_distinct({WORDS.format('query')}), list_distinct({WORDS.format('content')}))) / (len(list_distinct({WORDS.format('query')})) + len(list_distinct({WORDS.format('content')}))))"
 
 

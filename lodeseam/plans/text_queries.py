@@ -113,21 +113,6 @@ def token_estimate(spark, d):
     return _index(spark, d, "content").agg(F.floor(F.sum(text.word_count(F.col("content"))) * 1.3).cast("bigint").alias("n_tokens"))
 
 
-_CITE = "'• ' || regexp_extract(replace(source, '\\', '/'), '[^/]*$') || case when page <> 0 then ', p.' || page else '' end"
-
-
-@query(
-    f"with e as (select parent_id, {_CITE} entry, min(id) first from (select distinct id, parent_id, source, page from doc_index) where parent_id is not null group by 1, 2) "
-    "select parent_id, string_agg(entry, chr(10) order by first, entry) citations from e group by 1"
-)
-def source_citations(spark, d):
-    """The sources of the rows below each row, in the order in which they are first met."""
-    rows = _index(spark, d, "parent_id", "source", "page").where("parent_id is not null")
-    each = rows.groupBy("parent_id", text.citation(F.col("source"), F.col("page")).alias("entry")).agg(F.min("id").alias("first"))
-    listed = each.groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("first", "entry"))).alias("l"))
-    return listed.select("parent_id", F.array_join("l.entry", "\n").alias("citations"))
-
-
 _NOUNS = "select distinct noun from (select unnest(regexp_split_to_array(lower(regexp_extract(replace(source, '\\', '/'), '[^/]*$')), '[^A-Za-z]+')) noun from doc_index) where length(noun) > 4"
 
 
@@ -249,15 +234,6 @@ def keyword_overlap(spark, d):
     return _qa(spark, d).where("answer is not null").select("id", text.keyword_overlap(F.col("question"), F.col("answer")).cast("bigint").alias("overlap"))
 
 
-@query(
-    "select parent_id, string_agg(s, '; ' order by s) sources from (select distinct parent_id, source || case when page is not null then ' (page ' || page || ')' else '' end s from doc_index where parent_id is not null) group by 1"
-)
-def legacy_sources(spark, d):
-    s = F.concat("source", F.when(F.col("page").isNotNull(), F.concat(F.lit(" (page "), F.col("page").cast("string"), F.lit(")"))).otherwise(""))
-    each = table(spark, d, "doc_index").where("parent_id is not null").select("parent_id", s.alias("s")).distinct()
-    return each.groupBy("parent_id").agg(F.array_join(F.sort_array(F.collect_list("s")), "; ").alias("sources"))
-
-
 @query(f"select id, answer is not null and {TRIM.format('answer')} <> '' valid from {QA}")
 def validate_output(spark, d):
     """An answer in JSON is valid with a text that is not blank and a numeric confidence."""

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodeseam import providers
@@ -34,8 +35,11 @@ def test_bm25(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
-def test_knn_and_ivf(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [20_000, 4])
+def test_knn_and_ivf(spark, monkeypatch, limit):
     monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "DOC_BLOCK", 50)
+    monkeypatch.setattr(R, "QUERY_LIMIT", limit)  # 4: queries and documents meet in blocks
     rng = np.random.default_rng(1)
     x = rng.standard_normal((200, 8))
     x[5] = x[9]

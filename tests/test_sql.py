@@ -13,9 +13,9 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables"
 
 
 def modules():
-    from lodeseam.plans import core_queries, index_queries, ingest_queries, retrieval_queries, stream_queries, text_queries
+    from lodeseam.plans import answer_queries, core_queries, index_queries, ingest_queries, retrieval_queries, stream_queries, text_queries
 
-    return [core_queries, text_queries, ingest_queries, retrieval_queries, index_queries, stream_queries]
+    return [core_queries, text_queries, ingest_queries, retrieval_queries, index_queries, answer_queries, stream_queries]
 
 
 @pytest.fixture(scope="module")
