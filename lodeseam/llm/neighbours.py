@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from lodeseam.session import cut_lineage
 
 #: Trees, and cells taken from the shared queue for each vector (its own cells included).
-TREES, PROBES = 4, 6
+TREES, PROBES = 4, 5
 #: The trees are split until a cell holds about so many of all rows.
-CELL_ROWS = 1500
+CELL_ROWS = 6000
 #: At most so many rows are sampled to fit the trees; all rows are indexed and searched.
 FIT_ROWS = 20_000
 #: A cell with more rows than this is searched by several tasks, each with a part of the queries.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384
 
 
 class Forest:
