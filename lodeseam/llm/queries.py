@@ -9,7 +9,7 @@ from lodeseam.llm import lookalike, mix, neardup, neighbours, ocr, pack, qa_defe
 from lodeseam.session import table
 
 #: Share of all cells searched for the nearest of vectors that have no near pair: isotropic noise in 64 dimensions.
-WIDE_PROBES = 0.25
+WIDE_PROBES = 0.35
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
