@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.functions.text import bridge_query, calculate, is_useful, parse_action, words
+from lodeseam.functions.text import bridge_query, calculator, is_useful, parse_action, words
 from lodeseam.providers import LLMProvider, complete
 from lodeseam.session import cut_lineage
 
@@ -63,8 +63,7 @@ def run_react(questions: DataFrame, search: Callable[[DataFrame], DataFrame], pr
         acts = told.where("a.final is null and a.action is not null")
         if acts.limit(1).count() == 0:
             return reduce(DataFrame.unionByName, done)
-        run = F.udf(lambda x: f"Calculator result: {calculate(x)}", "string")
-        computed = acts.where("a.action = 'calculate'").select("query_id", run(F.col("a.input")).alias("observation"))
+        computed = acts.where("a.action = 'calculate'").select("query_id", F.concat(F.lit("Calculator result: "), calculator(F.col("a.input"))).alias("observation"))
         found = search(acts.where("a.action = 'search'").select("query_id", F.col("a.input").alias("query")))
         seen = acts.join(computed.unionByName(found.select("query_id", "observation")), "query_id", "left")
         obs = F.coalesce("observation", F.lit("No documents found."))
@@ -100,10 +99,9 @@ def plan_execute(plans: DataFrame, search: Callable[[DataFrame], DataFrame]) ->
     figures = F.regexp_extract_all("query", F.lit(r"[\d\s+\-*/().%]*\d[\d\s+\-*/().%]*"), F.lit(0))
     longest = F.try_element_at(F.array_sort(figures, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
     sums = F.col("query").rlike(r"(?i)\b(calculate|compute|math)\b") & longest.isNotNull()
-    run = F.udf(lambda x: calculate(x), "string")  # noqa: PLW0108
     each = cut_lineage(each.withColumn("figures", F.when(sums, F.trim(longest))))
     found = search(each.where("figures is null").select("query_id", "query")).select("query_id", "observation")
-    seen = each.join(found, "query_id", "left").withColumn("o", F.coalesce("observation", F.when(F.col("figures").isNotNull(), run("figures")), F.lit("")))
+    seen = each.join(found, "query_id", "left").withColumn("o", F.coalesce("observation", F.when(F.col("figures").isNotNull(), calculator(F.col("figures"))), F.lit("")))
     useful = seen.where(is_useful(F.col("o")) | (F.col("figures").isNotNull() & ~F.startswith("o", F.lit("Calculator error"))))
     joined = useful.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "o"))), lambda s: s["o"]), "\n\n").alias("answer"))
     return plans.select("question_id").join(joined, "question_id", "left").select("question_id", F.coalesce("answer", F.lit(NOTHING_FOUND)).alias("answer"))

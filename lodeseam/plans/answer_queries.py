@@ -32,12 +32,12 @@ BOTH = f"(select q.*, i.content from {QA} q join {IX.format('content')} i on q.c
 
 @query(f"select id, case when regexp_matches({TRIM.format('lower(question)')}, '^(?:{'|'.join(judge.GREETINGS)})\\b') and len({WORDS.format('question')}) <= 4 then 'GREETING' else 'VECTOR_SEARCH' end route from {QA} where question is not null")
 def route_query(spark, d):
-    return _qa(spark, d).where("question is not null").select("id", judge.route(F.col("question")).alias("route"))
+    return table(spark, d, "synthetic_qa").where("question is not null").select("id", judge.route(F.col("question")).alias("route")).distinct()
 
 
 @query(f"select id, len({WORDS.format('question')}) > 12 or len(list_intersect({WORDS.format('question')}, ['and', 'und', 'et', 'y'])) > 0 complex from {QA} where question is not null")
 def complex_query(spark, d):
-    return _qa(spark, d).where("question is not null").select("id", judge.is_complex(F.col("question")).alias("complex"))
+    return table(spark, d, "synthetic_qa").where("question is not null").select("id", judge.is_complex(F.col("question")).alias("complex")).distinct()
 
 
 def _support(a: str, b: str) -> str:

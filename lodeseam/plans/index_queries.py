@@ -115,9 +115,9 @@ def propositions(spark, d):
 
 @query("select id, embedding is not null and embedding_valid valid, case when embedding is not null and embedding_valid then len(embedding) else 64 end::int n from (select distinct id, embedding, embedding_valid from doc_index)")
 def embedding_mask(spark, d):
-    ix = table(spark, d, "doc_index").select("id", "embedding", "embedding_valid", "media_type").dropDuplicates(["id"])
+    ix = table(spark, d, "doc_index")
     v, ok = providers.mask_failures(F.when(F.col("embedding_valid"), F.col("embedding").cast("array<double>")), F.lit("text"))
-    return ix.select("id", ok.alias("valid"), F.size(v).alias("n"))
+    return ix.select("id", ok.alias("valid"), F.size(v).alias("n")).distinct()
 
 
 @query(

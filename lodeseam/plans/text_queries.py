@@ -13,6 +13,9 @@ QUERIES, SQL = {}, {}
 
 
 def query(sql: str | None = None):
+    """Registers a query. Where a result is narrower than the text it comes from, rows delivered twice are
+    removed from the result, so that no text is shuffled."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -105,12 +108,13 @@ def sanitise_query(spark, d):
 @query("select id, len(w) n_words, len(list_distinct(w)) n_distinct from (select id, " + WORDS.format("content") + " w from " + IX.format("content") + ")")
 def bm25_tokens(spark, d):
     w = text.words(F.col("content"))
-    return _index(spark, d, "content").select("id", F.size(w).cast("bigint").alias("n_words"), F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"))
+    return table(spark, d, "doc_index").select("id", F.size(w).cast("bigint").alias("n_words"), F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct")).distinct()
 
 
 @query("select floor(sum(len(" + WORDS.format("content") + ")) * 1.3)::bigint n_tokens from " + IX.format("content"))
 def token_estimate(spark, d):
-    return _index(spark, d, "content").agg(F.floor(F.sum(text.word_count(F.col("content"))) * 1.3).cast("bigint").alias("n_tokens"))
+    n = table(spark, d, "doc_index").select("id", text.word_count(F.col("content")).alias("n")).distinct()
+    return n.agg(F.floor(F.sum("n") * 1.3).cast("bigint").alias("n_tokens"))
 
 
 _NOUNS = "select distinct noun from (select unnest(regexp_split_to_array(lower(regexp_extract(replace(source, '\\', '/'), '[^/]*$')), '[^A-Za-z]+')) noun from doc_index) where length(noun) > 4"
@@ -145,12 +149,12 @@ def compound_query(spark, d):
     f"when len({WORDS.format('question')}) > 8 and not (len(list_distinct({WORDS.format('question')})) < 5 and len({WORDS.format('question')}) >= 2) then 0.75 else 0.55 end::double alpha from {QA}"
 )
 def select_alpha(spark, d):
-    return _qa(spark, d).select("id", text.select_alpha(F.col("question"), F.size(text.words(F.col("question"))) > 8).cast("double").alias("alpha"))
+    return table(spark, d, "synthetic_qa").select("id", text.select_alpha(F.col("question"), F.size(text.words(F.col("question"))) > 8).cast("double").alias("alpha")).distinct()
 
 
 @query("select id, not regexp_matches(question, '(?i)" + "|".join(f"(?:{p})" for p in text.NO_HYDE).replace("'", "''") + f"') hyde from {QA}")
 def hyde_gate(spark, d):
-    return _qa(spark, d).select("id", text.use_hyde(F.col("question")).alias("hyde"))
+    return table(spark, d, "synthetic_qa").select("id", text.use_hyde(F.col("question")).alias("hyde")).distinct()
 
 
 @query(
@@ -170,7 +174,7 @@ def snippets(spark, d):
 
 @query(f"select id, length({TRIM.format('answer')}) >= 30 and not ({' or '.join(f'contains(lower(answer), {p!r})' for p in text.NO_CONTENT)}) useful from {QA} where answer is not null")
 def usefulness(spark, d):
-    return _qa(spark, d).where("answer is not null").select("id", text.is_useful(F.col("answer")).alias("useful"))
+    return table(spark, d, "synthetic_qa").where("answer is not null").select("id", text.is_useful(F.col("answer")).alias("useful")).distinct()
 
 
 @query("select o_orderkey, ((o_orderkey + o_custkey) * 3 - o_orderkey % 7)::varchar result from orders")
@@ -212,7 +216,7 @@ def json_parse(spark, d):
 
 @query("select id, case when contains(upper(content), 'EXACT') then 'EXACT' when contains(upper(content), 'IRRELEVANT') then 'IRRELEVANT' else 'AMBIGUOUS' end grade from " + IX.format("content"))
 def grade_parse(spark, d):
-    return _index(spark, d, "content").select("id", text.parse_grade(F.col("content")).alias("grade"))
+    return table(spark, d, "doc_index").select("id", text.parse_grade(F.col("content")).alias("grade")).distinct()
 
 
 @query(
@@ -226,20 +230,20 @@ def plan_split(spark, d):
 
 @query(f"select id, len(list_filter(['x', answer], lambda x: x is not null and {TRIM.format('x')} <> '')) parts from {QA}")
 def hyde_split(spark, d):
-    return _qa(spark, d).select("id", F.size(text.hyde_parts(F.concat(F.lit("x|||"), F.coalesce("answer", F.lit(""))))).cast("bigint").alias("parts"))
+    return table(spark, d, "synthetic_qa").select("id", F.size(text.hyde_parts(F.concat(F.lit("x|||"), F.coalesce("answer", F.lit(""))))).cast("bigint").alias("parts")).distinct()
 
 
 @query(f"select id, len(list_intersect({WORDS.format('question')}, {WORDS.format('answer')})) overlap from {QA} where answer is not null")
 def keyword_overlap(spark, d):
-    return _qa(spark, d).where("answer is not null").select("id", text.keyword_overlap(F.col("question"), F.col("answer")).cast("bigint").alias("overlap"))
+    return table(spark, d, "synthetic_qa").where("answer is not null").select("id", text.keyword_overlap(F.col("question"), F.col("answer")).cast("bigint").alias("overlap")).distinct()
 
 
 @query(f"select id, answer is not null and {TRIM.format('answer')} <> '' valid from {QA}")
 def validate_output(spark, d):
     """An answer in JSON is valid with a text that is not blank and a numeric confidence."""
     j = text.parse_json(F.to_json(F.struct("answer", F.lit(0.5).alias("confidence"))), "answer string, confidence double")
-    p = _qa(spark, d).select("id", j.alias("p"))
-    return p.select("id", (F.col("p.answer").isNotNull() & (text.strip(F.col("p.answer")) != "") & F.col("p.confidence").isNotNull()).alias("valid"))
+    p = table(spark, d, "synthetic_qa").select("id", j.alias("p"))
+    return p.select("id", (F.col("p.answer").isNotNull() & (text.strip(F.col("p.answer")) != "") & F.col("p.confidence").isNotNull()).alias("valid")).distinct()
 
 
 @query("select id, trim(unnest(string_split(content, ','))) entity from " + IX.format("content, doc_type") + " where lower(doc_type) = 'tabular'")
@@ -257,7 +261,7 @@ def enriched_chunks(spark, d):
 
 @query("select id, " + " or ".join(f"contains(lower(content), '{w}')" for w in guard.BLOCKLIST) + " blocked from " + IX.format("content"))
 def lexical_blocklist(spark, d):
-    return _index(spark, d, "content").select("id", guard.blocked(F.col("content")).alias("blocked"))
+    return table(spark, d, "doc_index").select("id", guard.blocked(F.col("content")).alias("blocked")).distinct()
 
 
 @query("select doc_id, sha256(case when length(text) > 1000 then substring(text, 1, 500) || ' ' || right(text, 500) else text end) window_hash from documents where text is not null")
@@ -272,7 +276,7 @@ _M = lambda ws: "(" + " or ".join(f"contains(lower(answer), '{w}')" for w in ws)
     f"select id, not {_M(guard.INPUT_WORDS)} input_ok, length(answer) <= 500 length_ok, {_M(guard.JAILBREAK)} jailbreak, not {_M(guard.CONTEXT)} context_ok, not {_M(guard.OUTPUT_WORDS)} output_ok from {QA} where answer is not null"
 )
 def legacy_guards(spark, d):
-    return _qa(spark, d).where("answer is not null").select("id", *guard.verdicts(F.col("answer")))
+    return table(spark, d, "synthetic_qa").where("answer is not null").select("id", *guard.verdicts(F.col("answer"))).distinct()
 
 
 @query(
@@ -280,5 +284,6 @@ def legacy_guards(spark, d):
     "(select distinct id, media_type, embedding, embedding_valid, level from doc_index)"
 )
 def row_predicates(spark, d):
-    ix = table(spark, d, "doc_index").select("id", "media_type", "embedding", "embedding_valid", "level").dropDuplicates(["id"])
-    return ix.select("id", F.coalesce(F.col("media_type") != "image", F.lit(False)).alias("text_row"), (F.col("embedding").isNotNull() & F.col("embedding_valid")).alias("valid_vector"), (~F.col("level").eqNullSafe(0)).alias("no_proposition"))
+    ix = table(spark, d, "doc_index")
+    text_row = F.coalesce(F.col("media_type") != "image", F.lit(False))
+    return ix.select("id", text_row.alias("text_row"), (F.col("embedding").isNotNull() & F.col("embedding_valid")).alias("valid_vector"), (~F.col("level").eqNullSafe(0)).alias("no_proposition")).distinct()
