@@ -324,7 +324,7 @@ def corrections(types: DataFrame, counts: DataFrame) -> DataFrame:
     p = F.try_element_at(F.create_map(*[x for k, v in prob.items() for x in (F.lit(k), F.lit(v))]), F.col("how"))
     # a confusion that explains next to nothing is chance, unless a figure proves the word misread
     scored = fits.withColumn("p", F.coalesce(p, F.lit(0.001))).where(F.col("alien") | (F.col("sure") & (F.col("p") > 0.0005)) | (F.col("p") >= USUAL))
-    return scored.groupBy("w").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct((F.col("nc") * F.col("p")).alias("s"), "c", "nc", "p")))), 1, 8).alias("cands")).select("w", F.transform("cands", lambda x: F.struct(x["c"].alias("c"), x["nc"].alias("nc"), x["p"].alias("p"))).alias("cands"))
+    return scored.groupBy("w").agg(F.reverse(F.array_sort(F.collect_list(F.struct((F.col("nc") * F.col("p")).alias("s"), "c", "nc", "p")))).alias("cands")).select("w", F.transform("cands", lambda x: F.struct(x["c"].alias("c"), x["nc"].alias("nc"), x["p"].alias("p"))).alias("cands"))
 
 
 def decode(options: list[list[tuple[str, float, float]]], pair: dict[int, int], total: float) -> list[str]:
