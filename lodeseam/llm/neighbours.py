@@ -3,7 +3,8 @@
 The upper part of every tree is fitted on a bounded sample and routes all rows to cells. All trees share one
 priority queue per vector: a cell's priority is the smallest margin by which the vector lies on the cell's
 side on the way down, its own cells having the highest. The first cells of that queue are searched, every
-candidate in them being ranked by its exact cosine.
+candidate in them being ranked by its exact cosine. If only near pairs are wanted, the queue is by how likely a
+cell is to hold a vector at that cosine, and each vector searches until a miss is unlikely, however deep the trees.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from lodeseam.session import cut_lineage
 
 #: Trees, and cells taken from the shared queue for each vector (its own cells included).
 TREES, PROBES = 4, 5
+#: How likely the cells searched from one side may be to miss a vector at the least cosine; both sides search.
+MISS = 0.05
+#: Levels of a tree whose margins are computed for every vector; below, only those of the nodes still likely.
+DENSE_LEVELS = 8
 #: The trees are split until a cell holds about so many of all rows.
 CELL_ROWS = 6000
 #: At most so many rows are sampled to fit the trees; all rows are indexed and searched.
@@ -68,6 +73,54 @@ class Forest:
         top = np.argpartition(-every, k - 1, axis=1)[:, :k] if k < every.shape[1] else np.tile(np.arange(k), (len(x), 1))
         return np.stack(own, axis=1), top
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """Own cell of every row in every tree; without the number of the tree."""
+        node = np.ones((len(x), self.trees), dtype=np.int64)
+        for t in range(self.trees):
+            for _ in range(self.depth):
+                at = node[:, t]
+                node[:, t] = 2 * at + (np.einsum("ij,ij->i", x, self.normal[t, at]) >= self.offset[t, at])
+        return node - self.cells
+
+    def _likely(self, x: np.ndarray, t: int, own: np.ndarray, cosine: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, cells and probabilities of the cells of tree ``t`` that hold a vector at ``cosine`` to the row with ``floor`` or more, and of its own."""
+        spread = (1 - cosine * cosine) / max(1, x.shape[1] - 1)
+        dense = x @ self.normal[t, : 1 << min(self.depth, DENSE_LEVELS)].T
+        row, node, p = np.arange(len(x)), np.ones(len(x), dtype=np.int64), np.ones(len(x))
+        for level in range(self.depth):
+            s = (dense[row, node] if level < DENSE_LEVELS else np.einsum("ij,ij->i", x[row], self.normal[t, node])).astype(np.float64)
+            z = np.clip((cosine * s - self.offset[t, node]) / np.sqrt(np.maximum(spread * (1 - s * s), 1e-12)), -8, 8)
+            right = 1 / (1 + np.exp(-1.5976 * z - 0.07056 * z**3))  # the normal distribution to 0.0002
+            row, node, p = np.repeat(row, 2), np.stack([2 * node, 2 * node + 1], axis=1).ravel(), np.stack([p * (1 - right), p * right], axis=1).ravel()
+            some = (p >= floor) | (node == (own[row] + self.cells) >> (self.depth - level - 1))
+            row, node, p = row[some], node[some], p[some]
+        return row, node - self.cells, p
+
+    def cover(self, x: np.ndarray, cosine: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own cells per tree, rows, further cells): the likeliest cells of all trees, until all miss a vector at ``cosine`` with at most ``miss``."""
+        home = self.home(x)
+        todo, floor = np.arange(len(x)), 0.01
+        rows, cells = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        while len(todo):
+            found = [self._likely(x[todo], t, home[todo, t], cosine, floor) for t in range(self.trees)]
+            row, cell, p = (np.concatenate(z) for z in zip(*found))
+            tree = np.repeat(np.arange(self.trees), [len(z[0]) for z in found])
+            own = cell == home[todo[row], tree]
+            order = np.lexsort((-p, ~own, row))  # own cells first
+            row, cell, p, tree, own = (z[order] for z in (row, cell, p, tree, own))
+            mass = np.zeros((len(p), self.trees))
+            mass[np.arange(len(p)), tree] = p
+            before = np.cumsum(mass, axis=0) - mass
+            before -= before[np.searchsorted(row, row)]
+            after = np.prod(np.clip(1 - before - mass, 0, 1), axis=1)
+            last = np.searchsorted(row, np.arange(len(todo)), side="right") - 1
+            done = (after[last] <= miss) | (floor < 1e-9)
+            take = ~own & done[row] & (np.prod(np.clip(1 - before, 0, 1), axis=1) > miss)
+            rows.append(todo[row[take]])
+            cells.append(cell[take] + tree[take] * self.cells)
+            todo, floor = todo[~done], floor / 8  # unlikelier cells for the rows that need them
+        return home + np.arange(self.trees) * self.cells, np.concatenate(rows), np.concatenate(cells)
+
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -90,12 +143,13 @@ def _top(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, least: float = -1.0, trees: int = TREES, probes: int | float = PROBES, asks: Column | None = None) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, least: float = -1.0, trees: int = TREES, probes: int | float | None = None, asks: Column | None = None) -> DataFrame:
     """``key, neighbour, cosine``: of every row the ``k`` others of highest cosine, ties by smaller key.
 
     ``df`` must hold usable vectors (see :func:`usable`) and unique keys. Only cosines of at least ``least`` are
     returned. ``asks`` restricts the rows that are asked about, never those searched. ``probes`` is the number
-    of cells searched, or, if a fraction, their share of all cells of all trees. Cosines are rounded to 9 digits. Rows with equal vectors are searched as one and are each
+    of cells searched, or, if a fraction, their share of all cells of all trees; by default, as many as make it
+    unlikely (``MISS``) to miss a row at the cosine ``least``, or ``PROBES`` if that is not positive. Cosines are rounded to 9 digits. Rows with equal vectors are searched as one and are each
     other's nearest, so a third of all rows may share a vector. Cells are searched in blocks, each against
     its whole cell. An empty table, or a single row, gives no rows. Approximate: a pair is missed if none of
     the searched cells of either row holds the other; recall is measured in the tests and the README.
@@ -126,10 +180,13 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, lea
     depth = min(depth, int(math.log2(len(sample)))) if len(sample) else 0
     forest = Forest(sample, depth, trees)
     # a cell whose share of the sample promises more than BLOCK_ROWS rows is indexed in parts
-    homes = [forest.queue(sample[lo : lo + 2048].astype(np.float32), 1)[0].ravel() for lo in range(0, len(sample), 2048)]
+    homes = [(forest.home(sample[lo : lo + 2048].astype(np.float32)) + np.arange(trees) * forest.cells).ravel() for lo in range(0, len(sample), 2048)]
     held = np.bincount(np.concatenate(homes), minlength=forest.trees * forest.cells)
     parts = np.maximum(1, np.ceil(held * (n / max(1, len(sample))) / BLOCK_ROWS)).astype(np.int64)
 
+    angle = probes is None and 0 < least < 1
+    miss = MISS if asks is None else MISS * MISS  # one side alone has to find what both would
+    probes = PROBES if probes is None else probes
     taken = max(forest.trees, math.ceil(probes * forest.trees * forest.cells) if isinstance(probes, float) else probes)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,12 +194,18 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, lea
             for lo in range(0, len(pdf), 2048):
                 ids = pdf["id"].to_numpy()[lo : lo + 2048]
                 x = np.stack(pdf["v"].to_numpy()[lo : lo + 2048])
-                own, queue = forest.queue(_unit(x.astype(np.float64)).astype(np.float32), taken)
+                unit = _unit(x.astype(np.float64)).astype(np.float32)
                 i = np.arange(len(ids))
                 asked = pdf["ask"].to_numpy()[lo : lo + 2048]
-                extra = ~(queue[:, :, None] == own[:, None, :]).any(axis=2) & asked[:, None]
-                row = np.concatenate([np.repeat(i, own.shape[1]), np.repeat(i, queue.shape[1])[extra.ravel()]])
-                cell = np.concatenate([own.ravel(), queue[extra]])
+                if angle:
+                    own, far, more = forest.cover(unit, least, miss)
+                    far, more = far[asked[far]], more[asked[far]]
+                else:
+                    own, queue = forest.queue(unit, taken)
+                    extra = ~(queue[:, :, None] == own[:, None, :]).any(axis=2) & asked[:, None]
+                    far, more = np.repeat(i, queue.shape[1])[extra.ravel()], queue[extra]
+                row = np.concatenate([np.repeat(i, own.shape[1]), far])
+                cell = np.concatenate([own.ravel(), more])
                 home = np.arange(len(row)) < own.size
                 # searched in every part of its cells, indexed in one part of its own
                 times = parts[cell]

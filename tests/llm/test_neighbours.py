@@ -54,6 +54,20 @@ def test_near_pairs_are_found_over_many_cells(spark, monkeypatch, block):
     assert pairs <= want and len(pairs) >= 0.97 * len(want)
 
 
+def test_deep_trees_lose_no_more_near_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 12)  # 256 cells a tree, as for more than a million rows
+    monkeypatch.setattr(neighbours, "DENSE_LEVELS", 4, raising=False)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((800, 64))
+    off -= (off * base[:800]).sum(axis=1, keepdims=True) * base[:800]
+    near = 0.905 * base[:800] + np.sqrt(1 - 0.905**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    got = neighbours.nearest(frame(spark, np.concatenate([base, near])), "id", "v", least=0.9)
+    pairs = {tuple(sorted((r["id"], r["neighbour"]))) for r in got.collect()}
+    assert pairs <= {(i, 2000 + i) for i in range(800)} and len(pairs) >= 0.98 * 800
+
+
 def test_wide_search_reaches_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
     x = np.random.default_rng(3).standard_normal((2000, 64))
