@@ -1,11 +1,13 @@
 """The pipeline from question to answer, and the rules it judges by."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseam import pipeline, schema
 from lodeseam.functions import text
 from lodeseam.operators import judge
+from lodeseam.operators.cluster import cluster_vectors
 from lodeseam.operators.raptor import build_tree
 from lodeseam.providers import embed
 from lodeseam.settings import Settings
@@ -45,6 +47,16 @@ def test_tree_and_settings(spark):
         Settings(agent_mode="other")
 
 
+@pytest.mark.parametrize("k", [4, 11])
+def test_every_number_of_clusters_is_tried(spark, k):
+    rng = np.random.default_rng(k)
+    centre = 3 * rng.standard_normal((k, 12))
+    x = np.repeat(centre, 150, axis=0) + 0.2 * rng.standard_normal((150 * k, 12))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id bigint, v array<double>")
+    got = {r["id"]: r["cluster"] for r in cluster_vectors(df).collect()}
+    assert len(got) == 150 * k and len({(i // 150, c) for i, c in got.items()}) == k == len(set(got.values()))
+
+
 def test_tables(spark, tmp_path):
     spark.sql(f"create database if not exists made location '{tmp_path}'")
     schema.create_tables(spark, "made")
