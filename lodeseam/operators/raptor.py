@@ -13,16 +13,16 @@ from lodeseam.providers import EmbeddingProvider, embed
 from lodeseam.session import cut_lineage
 
 
-def build_tree(chunks: DataFrame, max_level: int = 3, least: int = 11, provider: EmbeddingProvider | None = None) -> DataFrame:
+def build_tree(chunks: DataFrame, max_level: int = 3, least: int = 11, least_above: int = 3, provider: EmbeddingProvider | None = None) -> DataFrame:
     """``level, cluster, n, content`` of the summaries above ``chunks`` (``id, content, v``), level by level.
 
-    A level is clustered if it has at least ``least`` rows; clusters of one row are left out. Every level is
-    written before the next.
+    The chunks are clustered if there are at least ``least``, the summaries of a level from ``least_above`` on;
+    clusters of one row are left out. Every level is written before the next.
     """
     out: list[DataFrame] = []
     level = cut_lineage(chunks.select("id", "content", F.col("v").cast("array<double>").alias("v")))
     for no in range(2, max_level + 1):
-        if level.count() < least:
+        if level.count() < (least if no == 2 else least_above):
             break
         labelled = level.select("id", "content").join(cluster_vectors(level.select("id", "v")), "id")
         made = cut_lineage(cluster_summaries(labelled, "cluster").select(F.lit(no).alias("level"), "cluster", "n", F.col("summary").alias("content")))

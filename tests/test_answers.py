@@ -57,6 +57,14 @@ def test_every_number_of_clusters_is_tried(spark, k):
     assert len(got) == 150 * k and len({(i // 150, c) for i, c in got.items()}) == k == len(set(got.values()))
 
 
+def test_tree_goes_on_above_few_summaries(spark):
+    words = ["pump harbour bar", "tree apple orchard", "ledger figure keeper", "violin concert hall", "glacier ridge snow"]
+    df = spark.createDataFrame([(i, f"{words[i % 5]} number {i}") for i in range(150)], "id bigint, content string")
+    tree = build_tree(df.select("id", "content", embed(F.col("content")).alias("v")))
+    n = {r["level"]: r["n"] for r in tree.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert 3 <= n[2] <= 10 and n[3] >= 1 and set(n) == {2, 3}
+
+
 def test_tables(spark, tmp_path):
     spark.sql(f"create database if not exists made location '{tmp_path}'")
     schema.create_tables(spark, "made")
