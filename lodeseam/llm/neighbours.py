@@ -1,16 +1,17 @@
 """The most similar vectors for every vector: a forest of random-projection trees.
 
-The upper part of every tree is fitted on a bounded sample and routes all rows to cells. All trees share one
-priority queue per vector: a cell's priority is the smallest margin by which the vector lies on the cell's
-side on the way down, its own cells having the highest. The first cells of that queue are searched, every
-candidate in them being ranked by its exact cosine. If only near pairs are wanted, the queue is by how likely a
-cell is to hold a vector at that cosine, and each vector searches until a miss is unlikely, however deep the trees.
+The planes of the upper levels are fitted on a bounded sample; all rows are routed to one cell a tree. Each row
+that asks walks all trees through one shared priority queue: the node most likely to hold a vector at the wanted
+cosine is taken next, whatever tree it is of, its children are pushed or, if it is a cell, the cell is searched.
+The walk ends when a miss is unlikely, so that recall does not depend on the depth. Cells are searched on vectors of
+8-bit numbers with the bound of their rounding; every candidate that the bound leaves is ranked by its exact cosine.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -19,113 +20,141 @@ from pyspark.sql import functions as F
 
 from lodeseam.session import cut_lineage
 
-#: Trees, and cells taken from the shared queue for each vector (its own cells included).
-TREES, PROBES = 4, 5
-#: How likely the cells searched from one side may be to miss a vector at the least cosine; both sides search.
+#: Trees of the forest.
+TREES = 4
+#: How likely the cells searched from one side may be to miss a vector at the wanted cosine; if all rows ask, both sides search.
 MISS = 0.05
-#: Levels of a tree whose margins are computed for every vector; below, only those of the nodes still likely.
+#: Levels whose planes are each node's own; below, the nodes of a level share one direction, each with its own offset.
+OWN_LEVELS = 12
+#: Levels of a tree that are projected for every row at once; below, only the nodes that the walk reaches.
 DENSE_LEVELS = 8
-#: The trees are split until a cell holds about so many of all rows.
-CELL_ROWS = 6000
-#: At most so many rows are sampled to fit the trees; all rows are indexed and searched.
+#: The trees are split until a cell holds about so many of all rows, and to this depth at least.
+CELL_ROWS, LEAST_DEPTH = 6000, 2
+#: About so many rows are sampled to fit the planes; all rows are indexed and searched.
 FIT_ROWS = 20_000
-#: A cell with more rows than this is searched by several tasks, each with a part of the queries.
+#: A cell with more rows than this is searched by several tasks, each with a part of the indexed rows.
 BLOCK_ROWS = 16384
 
 
 class Forest:
-    """Random-projection trees of equal depth: hyperplanes between two random rows, at the median of the sample."""
+    """Random-projection trees of equal depth: planes between two random rows of the sample, at its median."""
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         self.depth, self.trees, self.cells = depth, trees, 1 << depth
-        self.normal = np.zeros((trees, self.cells, d), dtype=np.float32)  # node i has children 2i and 2i+1; 1 is the root
+        self.own = min(depth, OWN_LEVELS)
+        # node i has children 2i and 2i+1, 1 is the root; the shared directions of the deeper levels come last
+        self.normal = np.zeros((trees, (1 << self.own) + depth - self.own, d), dtype=np.float32)
         self.offset = np.zeros((trees, self.cells), dtype=np.float32)
         for t in range(trees):
             members = {1: np.arange(len(sample))}
+            shared, middle = None, 0.0
             for node in range(1, self.cells):
+                level = node.bit_length() - 1
                 rows = members.pop(node, np.empty(0, dtype=int))
-                w = rng.standard_normal(d)
-                if len(rows) > 1:
-                    a, b = sample[rng.choice(rows, 2, replace=False)]
-                    if np.abs(a - b).sum() > 1e-6:
-                        w = a - b
-                w = w / np.linalg.norm(w)
+                if level >= self.own:
+                    if node == 1 << level:
+                        shared = rng.standard_normal(d)
+                        shared /= np.linalg.norm(shared)
+                        self.normal[t, (1 << self.own) + level - self.own] = shared
+                        middle = float(np.median(sample @ shared)) if len(sample) else 0.0
+                    w = shared
+                else:
+                    w = rng.standard_normal(d)
+                    if len(rows) > 1:
+                        a, b = sample[rng.choice(rows, 2, replace=False)]
+                        if np.abs(a - b).sum() > 1e-6:
+                            w = a - b
+                    w = w / np.linalg.norm(w)
+                    self.normal[t, node] = w
                 p = sample[rows] @ w
-                m = float(np.median(p)) if len(rows) else 0.0
-                self.normal[t, node], self.offset[t, node] = w, m
+                # too few rows tell nothing of the middle
+                m = float(np.median(p)) if len(rows) >= 4 else middle
+                self.offset[t, node] = m
                 members[2 * node], members[2 * node + 1] = rows[p < m], rows[p >= m]
 
-    def queue(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(own cells per tree, first ``probes`` cells of the queue shared by all trees); cells are tree * cells + cell."""
-        own, prio = [], []
-        for t in range(self.trees):
-            margin = x @ self.normal[t].T - self.offset[t]
-            p = np.full((len(x), 1), np.inf, dtype=np.float32)
-            for level in range(self.depth):
-                m = margin[:, 1 << level : 2 << level]
-                p = np.stack([np.minimum(p, -m), np.minimum(p, m)], axis=2).reshape(len(x), -1)
-            own.append(np.argmax(p, axis=1) + t * self.cells)
-            prio.append(p)
-        every = np.concatenate(prio, axis=1)
-        k = min(probes, every.shape[1])
-        top = np.argpartition(-every, k - 1, axis=1)[:, :k] if k < every.shape[1] else np.tile(np.arange(k), (len(x), 1))
-        return np.stack(own, axis=1), top
+    def _plane(self, node: np.ndarray) -> np.ndarray:
+        level = np.frexp(node.astype(np.float64))[1] - 1
+        return np.where(level < self.own, node, (1 << self.own) + level - self.own)
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        """Own cell of every row in every tree; without the number of the tree."""
+        """Own cell of every row in every tree, as tree * cells + cell."""
         node = np.ones((len(x), self.trees), dtype=np.int64)
         for t in range(self.trees):
             for _ in range(self.depth):
                 at = node[:, t]
-                node[:, t] = 2 * at + (np.einsum("ij,ij->i", x, self.normal[t, at]) >= self.offset[t, at])
-        return node - self.cells
-
-    def _likely(self, x: np.ndarray, t: int, own: np.ndarray, cosine: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, cells and probabilities of the cells of tree ``t`` that hold a vector at ``cosine`` to the row with ``floor`` or more, and of its own."""
-        spread = (1 - cosine * cosine) / max(1, x.shape[1] - 1)
-        dense = x @ self.normal[t, : 1 << min(self.depth, DENSE_LEVELS)].T
-        row, node, p = np.arange(len(x)), np.ones(len(x), dtype=np.int64), np.ones(len(x))
-        for level in range(self.depth):
-            s = (dense[row, node] if level < DENSE_LEVELS else np.einsum("ij,ij->i", x[row], self.normal[t, node])).astype(np.float64)
-            z = np.clip((cosine * s - self.offset[t, node]) / np.sqrt(np.maximum(spread * (1 - s * s), 1e-12)), -8, 8)
-            right = 1 / (1 + np.exp(-1.5976 * z - 0.07056 * z**3))  # the normal distribution to 0.0002
-            row, node, p = np.repeat(row, 2), np.stack([2 * node, 2 * node + 1], axis=1).ravel(), np.stack([p * (1 - right), p * right], axis=1).ravel()
-            some = (p >= floor) | (node == (own[row] + self.cells) >> (self.depth - level - 1))
-            row, node, p = row[some], node[some], p[some]
-        return row, node - self.cells, p
-
-    def cover(self, x: np.ndarray, cosine: float, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(own cells per tree, rows, further cells): the likeliest cells of all trees, until all miss a vector at ``cosine`` with at most ``miss``."""
-        home = self.home(x)
-        todo, floor = np.arange(len(x)), 0.01
+                node[:, t] = 2 * at + (np.einsum("ij,ij->i", x, self.normal[t, self._plane(at)]) >= self.offset[t, at])
+        return node - self.cells + np.arange(self.trees) * self.cells
+
+    def walk(self, x: np.ndarray, cosine: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cells): for each row the cells taken from its queue over the nodes of all trees, likeliest first.
+
+        A node's priority is the probability that a vector at ``cosine`` to the row, in a random direction, lies in it. A row is done when all cells
+        taken miss such a vector with a probability of at most ``miss``, or when its queue is empty.
+        """
+        n, spread = len(x), (1 - cosine * cosine) / max(1, x.shape[1] - 1)
+        dense = min(self.own, DENSE_LEVELS)
+        near = np.stack([x @ self.normal[t, : 1 << dense].T for t in range(self.trees)], axis=1)
+        ids, size = np.arange(n), np.full(n, self.trees)
+        # the queues: one row each, of probability, tree and node
+        prio, tree, node = np.ones((n, self.trees)), np.tile(np.arange(self.trees), (n, 1)), np.ones((n, self.trees), dtype=np.int64)
+        missed = np.ones((n, self.trees))
         rows, cells = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        while len(todo):
-            found = [self._likely(x[todo], t, home[todo, t], cosine, floor) for t in range(self.trees)]
-            row, cell, p = (np.concatenate(z) for z in zip(*found))
-            tree = np.repeat(np.arange(self.trees), [len(z[0]) for z in found])
-            own = cell == home[todo[row], tree]
-            order = np.lexsort((-p, ~own, row))  # own cells first
-            row, cell, p, tree, own = (z[order] for z in (row, cell, p, tree, own))
-            mass = np.zeros((len(p), self.trees))
-            mass[np.arange(len(p)), tree] = p
-            before = np.cumsum(mass, axis=0) - mass
-            before -= before[np.searchsorted(row, row)]
-            after = np.prod(np.clip(1 - before - mass, 0, 1), axis=1)
-            last = np.searchsorted(row, np.arange(len(todo)), side="right") - 1
-            done = (after[last] <= miss) | (floor < 1e-9)
-            take = ~own & done[row] & (np.prod(np.clip(1 - before, 0, 1), axis=1) > miss)
-            rows.append(todo[row[take]])
-            cells.append(cell[take] + tree[take] * self.cells)
-            todo, floor = todo[~done], floor / 8  # unlikelier cells for the rows that need them
-        return home + np.arange(self.trees) * self.cells, np.concatenate(rows), np.concatenate(cells)
+        while len(ids):
+            at = np.arange(len(ids))
+            best = prio.argmax(axis=1)
+            p, t, v = prio[at, best], tree[at, best], node[at, best]
+            leaf = v >= self.cells
+            some = np.flatnonzero(leaf & (p > 0))
+            rows.append(ids[some])
+            cells.append(v[some] - self.cells + t[some] * self.cells)
+            missed[some, t[some]] = np.maximum(0, missed[some, t[some]] - p[some])
+            prio[leaf, best[leaf]] = -1
+            inner = np.flatnonzero(~leaf)
+            if len(inner):
+                ti, vi = t[inner], v[inner]
+                s = np.empty(len(inner))
+                high = vi < 1 << dense
+                s[high] = near[inner[high], ti[high], vi[high]]
+                low = ~high
+                s[low] = np.einsum("ij,ij->i", x[ids[inner[low]]], self.normal[ti[low], self._plane(vi[low])])
+                z = np.clip((cosine * s - self.offset[ti, vi]) / np.sqrt(np.maximum(spread * (1 - s * s), 1e-12)), -8, 8)
+                right = 1 / (1 + np.exp(-1.5976 * z - 0.07056 * z**3))  # the normal distribution to 0.0002
+                if (full := int(size[inner].max())) >= prio.shape[1]:
+                    wide = ((0, 0), (0, max(16, full)))
+                    prio, tree, node = (np.pad(q, wide, constant_values=c) for q, c in ((prio, -1), (tree, 0), (node, 1)))
+                slot, to = size[inner], best[inner]
+                prio[inner, to], node[inner, to] = p[inner] * (1 - right), 2 * vi
+                prio[inner, slot], node[inner, slot], tree[inner, slot] = p[inner] * right, 2 * vi + 1, ti
+                size[inner] += 1
+            going = (missed.prod(axis=1) > miss) & (p > 0)
+            if not going.all():
+                ids, size, prio, tree, node, missed, near = (q[going] for q in (ids, size, prio, tree, node, missed, near))
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def usual_cosine(sample: np.ndarray, n: int, k: int) -> float:
+    """The cosine at which a row has ``k`` of ``n`` others, by the spread of cosines in the sample, as if they were normal."""
+    some = sample[:: max(1, len(sample) // 500)]
+    c = (some @ sample.T).ravel()
+    c = c[c < 0.999999]
+    if len(c) < 2 or n <= k:
+        return 0.0
+    return float(np.clip(c.mean() + c.std() * NormalDist().inv_cdf(1 - k / n), 0.0, 0.999))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def small_numbers(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(8-bit numbers, scale, length of the rounding error) of unit vectors."""
+    scale = np.abs(unit).max(axis=1) / 127
+    q = np.rint(unit / scale[:, None]).astype(np.int8)
+    return q, scale.astype(np.float32), np.linalg.norm(unit - q * scale.astype(np.float32)[:, None], axis=1).astype(np.float32)
+
+
 def usable(df: DataFrame, vector: str, dim: int, valid: str | None = None) -> DataFrame:
     """Rows whose vector has exactly ``dim`` finite numbers, not all zero (and is not marked invalid)."""
     v = F.col(f"`{vector}`")
@@ -134,25 +163,29 @@ def usable(df: DataFrame, vector: str, dim: int, valid: str | None = None) -> Da
     return df.where(ok & F.col(f"`{valid}`")) if valid else df.where(ok)
 
 
-def _top(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the first k per row number, by score falling, then id."""
-    order = np.lexsort((ids, -scores, rows))
-    r = rows[order]
-    first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.empty(0, dtype=bool)
-    rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-    return order[rank < k]
+def _cosines(x: Column, y: Column) -> Column:
+    """Exact cosines of two array columns, to 9 digits."""
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        a, b = (_unit(np.stack(z.to_numpy()).astype(np.float64)) for z in (x, y))
+        return pd.Series(np.round(np.einsum("ij,ij->i", a, b), 9))
 
+    return of(x, y)
 
-def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, least: float = -1.0, trees: int = TREES, probes: int | float | None = None, asks: Column | None = None) -> DataFrame:
+
+def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, least: float = -1.0, trees: int = TREES, miss: float | None = None, asks: Column | None = None) -> DataFrame:
     """``key, neighbour, cosine``: of every row the ``k`` others of highest cosine, ties by smaller key.
 
     ``df`` must hold usable vectors (see :func:`usable`) and unique keys. Only cosines of at least ``least`` are
-    returned. ``asks`` restricts the rows that are asked about, never those searched. ``probes`` is the number
-    of cells searched, or, if a fraction, their share of all cells of all trees; by default, as many as make it
-    unlikely (``MISS``) to miss a row at the cosine ``least``, or ``PROBES`` if that is not positive. Cosines are rounded to 9 digits. Rows with equal vectors are searched as one and are each
-    other's nearest, so a third of all rows may share a vector. Cells are searched in blocks, each against
-    its whole cell. An empty table, or a single row, gives no rows. Approximate: a pair is missed if none of
-    the searched cells of either row holds the other; recall is measured in the tests and the README.
+    returned. ``asks`` restricts the rows that are asked about, never those searched. ``miss`` is the probability at which a row may miss a
+    vector at the cosine ``least`` or, if that is not positive, at the cosine of the k-th nearest as the sample
+    tells it; by default ``MISS``, or its square if not all rows ask. Cosines are rounded to 9 digits. Rows with
+    equal vectors are searched as one and are each other's nearest, so a third of all rows may share a vector.
+    Cells are searched in blocks, each against its whole cell. An empty table, or a single row, gives no rows.
+    Approximate: a pair is missed if none of the searched cells of either row holds the other; recall is measured in the tests and the README.
     """
     v = F.col(f"`{vector}`").cast("array<float>")
     ask = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
@@ -173,87 +206,98 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, lea
         first = ranked.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("first"))
         members = (of, first)
         reps = reps.join(of, "id", "left").where("rep is null or rep = id").select("id", "v", (F.col("ask") | F.col("rep").isNotNull()).alias("ask"))
-    depth = math.ceil(math.log2(n / CELL_ROWS)) if n > CELL_ROWS else 0
+    depth = max(LEAST_DEPTH, math.ceil(math.log2(n / CELL_ROWS)))
+    # a sample by the hash of the key: the same in every run
     share = min(1.0, FIT_ROWS / n)
-    chosen = reps.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("v").limit(FIT_ROWS).toPandas()
+    chosen = reps.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < math.ceil(share * 1_000_000_000)).select("v").toPandas()
     sample = _unit(np.stack(chosen["v"].to_numpy()).astype(np.float64) if len(chosen) else np.empty((0, dim)))
-    depth = min(depth, int(math.log2(len(sample)))) if len(sample) else 0
     forest = Forest(sample, depth, trees)
     # a cell whose share of the sample promises more than BLOCK_ROWS rows is indexed in parts
-    homes = [(forest.home(sample[lo : lo + 2048].astype(np.float32)) + np.arange(trees) * forest.cells).ravel() for lo in range(0, len(sample), 2048)]
-    held = np.bincount(np.concatenate(homes), minlength=forest.trees * forest.cells)
+    homes = [forest.home(sample[lo : lo + 2048].astype(np.float32)).ravel() for lo in range(0, len(sample), 2048)]
+    held = np.bincount(np.concatenate([*homes, np.empty(0, dtype=np.int64)]), minlength=forest.trees * forest.cells)
     parts = np.maximum(1, np.ceil(held * (n / max(1, len(sample))) / BLOCK_ROWS)).astype(np.int64)
-
-    angle = probes is None and 0 < least < 1
-    miss = MISS if asks is None else MISS * MISS  # one side alone has to find what both would
-    probes = PROBES if probes is None else probes
-    taken = max(forest.trees, math.ceil(probes * forest.trees * forest.cells) if isinstance(probes, float) else probes)
+    cosine = least if least > 0 else usual_cosine(sample, n, k)
+    if miss is None:
+        miss = MISS if asks is None else MISS * MISS  # one side alone has to find what both would
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                ids = pdf["id"].to_numpy()[lo : lo + 2048]
-                x = np.stack(pdf["v"].to_numpy()[lo : lo + 2048])
-                unit = _unit(x.astype(np.float64)).astype(np.float32)
-                i = np.arange(len(ids))
-                asked = pdf["ask"].to_numpy()[lo : lo + 2048]
-                if angle:
-                    own, far, more = forest.cover(unit, least, miss)
-                    far, more = far[asked[far]], more[asked[far]]
-                else:
-                    own, queue = forest.queue(unit, taken)
-                    extra = ~(queue[:, :, None] == own[:, None, :]).any(axis=2) & asked[:, None]
-                    far, more = np.repeat(i, queue.shape[1])[extra.ravel()], queue[extra]
-                row = np.concatenate([np.repeat(i, own.shape[1]), far])
-                cell = np.concatenate([own.ravel(), more])
-                home = np.arange(len(row)) < own.size
-                # searched in every part of its cells, indexed in one part of its own
-                times = parts[cell]
-                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, cell, home = (np.repeat(z, times) for z in (row, cell, home))
-                home &= part == (ids[row] * 0x9E3779B1 >> 13) % parts[cell]
-                some = home | asked[row]
-                row, cell, part, home = row[some], cell[some], part[some], home[some]
-                yield pd.DataFrame({"cell": cell, "part": part, "indexed": home, "asked": asked[row], "id": ids[row], "v": list(map(bytes, x[row].astype("<f4")))})
-
-    routed = reps.mapInPandas(route, "cell long, part long, indexed boolean, asked boolean, id long, v binary")
+            if not len(pdf):
+                continue
+            ids, asked = pdf["id"].to_numpy(), pdf["ask"].to_numpy(dtype=bool)
+            unit = _unit(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+            q, scale, error = small_numbers(unit)
+            unit = unit.astype(np.float32)
+            far, more = [], []
+            for lo in range(0, len(ids), 1024):
+                mine = lo + np.flatnonzero(asked[lo : lo + 1024])
+                r, c = forest.walk(unit[mine], cosine, miss)
+                far.append(mine[r])
+                more.append(c)
+            own = forest.home(unit)
+            # bit 1: indexed here; bit 2: asks here
+            row = np.concatenate([np.repeat(np.arange(len(ids)), own.shape[1]), *far])
+            cell = np.concatenate([own.ravel(), *more])
+            flag = np.where(np.arange(len(row)) < own.size, 1, 2)
+            # asks in every part of its cells, is indexed in one part of its own
+            times = np.where(flag == 2, parts[cell], 1)
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, cell, flag = (np.repeat(z, times) for z in (row, cell, flag))
+            index = flag == 1
+            part[index] = (ids[row[index]] * 0x9E3779B1 >> 13) % parts[cell[index]]
+            order = np.lexsort((row, part, cell))
+            row, cell, part, flag = (z[order] for z in (row, cell, part, flag))
+            # a row that asks where it is indexed is sent once
+            same = np.r_[False, (row[1:] == row[:-1]) & (cell[1:] == cell[:-1]) & (part[1:] == part[:-1])]
+            flag[:-1][same[1:]] = 3
+            row, cell, part, flag = (z[~same] for z in (row, cell, part, flag))
+            edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]), True])
+            spans = list(zip(edge[:-1], edge[1:], strict=True))
+            packed = {"ids": ids[row], "q": q[row], "scale": scale[row], "error": error[row], "flag": flag.astype(np.uint8)}
+            yield pd.DataFrame({"cell": cell[edge[:-1]], "part": part[edge[:-1]]} | {c: [a[lo:hi].tobytes() for lo, hi in spans] for c, a in packed.items()})
+
+    routed = reps.mapInPandas(route, "cell long, part long, ids binary, q binary, scale binary, error binary, flag binary")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        wide = _unit(np.frombuffer(b"".join(pdf["v"]), dtype="<f4").reshape(-1, dim).astype(np.float64))
-        x = wide.astype(np.float32)
-        at = np.flatnonzero(pdf["indexed"].to_numpy())
+        ids, scale, error, flag = (np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in (("ids", "<i8"), ("scale", "<f4"), ("error", "<f4"), ("flag", "u1")))
+        x = np.frombuffer(b"".join(pdf["q"]), dtype=np.int8).reshape(-1, dim).astype(np.float32) * scale[:, None]
+        at, asked = np.flatnonzero(flag & 1), np.flatnonzero(flag & 2)
         place = np.full(len(ids), -1)
         place[at] = np.arange(len(at))
-        asked = np.flatnonzero(pdf["asked"].to_numpy())
-        rows_, cols = [np.empty(0, dtype=int)], [np.empty(0, dtype=int)]
+        # how far the rounding can move a cosine, and single precision
+        slack = 2 * float(error.max()) + float(error.max()) ** 2 + 1e-5
+        found = []
+        indexed = np.ascontiguousarray(x[at].T)
         for lo in range(0, len(asked) if len(at) else 0, 512):
             block = asked[lo : lo + 512]
-            s = x[block] @ x[at].T
+            s = x[block] @ indexed
             mine = place[block]
             s[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -2
-            # single precision keeps one more than k, and near ties; the exact cosine decides
-            bar = np.full(len(s), max(least, -1.5), dtype=np.float32)
-            many = np.flatnonzero((s >= bar[0] - 1e-6).sum(axis=1) > k)
-            if len(many) and len(at) > k + 1:
-                bar[many] = np.maximum(bar[many], np.partition(s[many], len(at) - k - 1, axis=1)[:, len(at) - k - 1])
-            r, c = np.nonzero(s >= bar[:, None] - 1e-6)
-            rows_.append(block[r])
-            cols.append(at[c])
-        r, c = np.concatenate(rows_), np.concatenate(cols)
-        exact = np.round(np.einsum("ij,ij->i", wide[r], wide[c]), 9)
-        top = _top(r, ids[c], exact, k)
-        top = top[exact[top] >= least]
-        return pd.DataFrame({"id": ids[r[top]], "neighbour": ids[c[top]], "cosine": exact[top]})
-
-    found = routed.groupBy("cell", "part").applyInPandas(search, "id long, neighbour long, cosine double")
-    best = lambda f: F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("neighbour").alias("n"))))), 1, f)
+            bar = np.full(len(s), max(least, -1.5) - slack, dtype=np.float32)
+            many = np.flatnonzero((s >= bar[0]).sum(axis=1) > k)
+            if len(many):
+                bar[many] = np.maximum(bar[many], np.partition(s[many], len(at) - k, axis=1)[:, len(at) - k] - 2 * slack)
+            r, c = np.nonzero(s >= bar[:, None])
+            found.append(pd.DataFrame({"id": ids[block[r]], "neighbour": ids[at[c]], "near": s[r, c], "slack": np.float32(slack)}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "neighbour": [], "near": [], "slack": []})
+
+    found = routed.groupBy("cell", "part").applyInPandas(search, "id long, neighbour long, near float, slack float")
+    # over all cells: what may still be among the k nearest, once each
+    per = found.groupBy("id", "neighbour").agg(F.max("near").alias("near"), F.max("slack").alias("slack")).groupBy("id")
+    per = per.agg(F.max("slack").alias("slack"), F.sort_array(F.collect_list(F.struct("near", "neighbour")), False).alias("b"))
+    bar = F.coalesce(F.get("b", F.lit(k - 1))["near"] - 2 * F.col("slack"), F.lit(-3.0))
+    pairs = cut_lineage(per.withColumn("bar", bar).withColumn("b", F.filter("b", lambda s: s["near"] >= F.col("bar"))).select("id", F.inline("b")).select("id", "neighbour"))
+    # exact cosines; only the vectors that are still needed are joined
+    need = pairs.select("id").unionByName(pairs.select(F.col("neighbour").alias("id"))).distinct()
+    kept = cut_lineage(reps.select("id", "v").join(need, "id", "left_semi"))
+    both = pairs.join(kept.withColumnRenamed("v", "x"), "id").join(kept.select(F.col("id").alias("neighbour"), F.col("v").alias("y")), "neighbour")
+    exact = both.select("id", "neighbour", _cosines(F.col("x"), F.col("y")).alias("cosine")).where(F.col("cosine") >= least)
+    first_k = exact.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("neighbour").alias("n")))), 1, k).alias("b"))
     if members is None:
-        out = found.groupBy("id").agg(best(k).alias("b")).select("id", F.inline("b")).select("id", F.col("n").alias("neighbour"), (-F.col("c")).alias("cosine"))
-        return out.withColumnRenamed("id", key)
+        return first_k.select("id", F.inline("b")).select(F.col("id").alias(key), F.col("n").alias("neighbour"), (-F.col("c")).alias("cosine"))
     of, first = members
     # representatives' neighbours, each standing for its whole class; then the members of the classes in order
-    near = cut_lineage(found.groupBy("id").agg(best(k).alias("b")).select("id", F.inline("b")).select("id", F.col("n").alias("near"), (-F.col("c")).alias("cosine")))
+    near = cut_lineage(first_k.select("id", F.inline("b")).select("id", F.col("n").alias("near"), (-F.col("c")).alias("cosine")))
     same = first.select(F.col("rep").alias("near"), "first")
     near = near.join(same, "near", "left").select("id", F.explode(F.coalesce("first", F.array("near"))).alias("neighbour"), "cosine")
     own = first.select(F.col("rep").alias("id"), F.explode("first").alias("neighbour"), F.lit(1.0).alias("cosine"))

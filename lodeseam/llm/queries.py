@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lodeseam.llm import lookalike, mix, neardup, neighbours, ocr, pack, qa_defects, split, tokens
 from lodeseam.session import table
 
-#: Share of all cells searched for the nearest of vectors that have no near pair: isotropic noise in 64 dimensions.
-WIDE_PROBES = 0.35
-
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "doc_index").select("id", "embedding", "embedding_valid")
@@ -24,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of every hundredth id among all rows; noise needs a far wider search than near pairs."""
-    return neighbours.nearest(_vectors(spark, d), "id", "embedding", probes=WIDE_PROBES, asks=F.col("id") % 100 == 0)
+    return neighbours.nearest(_vectors(spark, d), "id", "embedding", miss=0.1, asks=F.col("id") % 100 == 0)
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:

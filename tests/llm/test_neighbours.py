@@ -28,13 +28,13 @@ def result(df):
     return got
 
 
-def test_small_is_exact_with_ties_and_copies(spark):
+def test_search_that_may_miss_nothing_is_exact_with_ties_and_copies(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 8))
     x[10:30] = x[3]  # a third of the rows are copies
     x[40] = x[41]
     ids = rng.permutation(1000)[:60].tolist()
-    got = neighbours.nearest(frame(spark, x, ids), "id", "v", dim=8, k=5)
+    got = neighbours.nearest(frame(spark, x, ids), "id", "v", dim=8, k=5, miss=0.0)
     assert got.columns == ["id", "neighbour", "cosine"] and result(got) == exact(x, ids, 5)
 
 
@@ -72,7 +72,7 @@ def test_wide_search_reaches_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
     x = np.random.default_rng(3).standard_normal((2000, 64))
     want = exact(x, list(range(2000)), 5)
-    got = result(neighbours.nearest(frame(spark, x), "id", "v", probes=0.25, asks=F.col("id") % 50 == 0))
+    got = result(neighbours.nearest(frame(spark, x), "id", "v", miss=0.1, asks=F.col("id") % 50 == 0))
     assert got.keys() == set(range(0, 2000, 50))
     assert sum(len(set(got[i]) & set(want[i])) for i in got) >= 0.9 * 5 * len(got)
 
