@@ -28,12 +28,12 @@ def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    return resolve_hierarchy(table(spark, d, "doc_index"))
+def _resolved(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return resolve_hierarchy(table(spark, d, "doc_index"), paths=paths)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d).where("cycle_id is not null").select("id", "cycle_id", "place")
+    return _resolved(spark, d, paths=False).where("cycle_id is not null").select("id", "cycle_id", "place")
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -53,10 +53,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodeseam-checkpoint-"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, looped: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there; survives lost executors.
+
+    A checkpoint keeps Spark's estimate of its size, which joins multiply: in a loop its digits double per round, and
+    planning soon takes all the time (measured). ``looped`` forgets the estimate, and what is inferred of the columns.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    if not looped:
+        return kept
+    j = kept._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False), spark)
 
 
 def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:

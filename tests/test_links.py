@@ -104,10 +104,21 @@ def test_hierarchy_like_brute_force(spark, kind, monkeypatch):
     got = resolve_hierarchy(spark.createDataFrame([*rows, *rows[:50], (None, 3, "x", 1)], "id bigint, parent_id bigint, path string, depth int"))
     have = {r["id"]: (r["root_id"], r["depth"], r["path"], r["cycle_id"], r["place"]) for r in got.collect()}
     assert got.count() == len(have) and have == brute(parents)
+    bare = resolve_hierarchy(spark.createDataFrame(rows, "id bigint, parent_id bigint, path string, depth int"), paths=False)
+    assert {r["id"]: (r["root_id"], r["depth"], r["cycle_id"], r["place"]) for r in bare.collect()} == {i: (*v[:2], *v[3:]) for i, v in brute(parents).items()}
     pairs = {(r["ancestor_id"], r["id"], r["distance"]) for r in descendants(got).collect()} if kind == "random" else None
     if pairs is not None:
         assert pairs == {(a, i, len(v[2]) - 1 - k) for i, v in brute(parents).items() if v[2] for k, a in enumerate(v[2][:-1])}
 
 
+def test_a_long_cycle_and_a_long_chain_cost_no_more_than_their_rows(spark):
+    n = 20_000  # ids in no order; a ring of n rows, and n rows hanging below it in one chain
+    at = F.pmod(F.col("id") * 7919, F.lit(n))
+    ring = spark.range(n).select(at.alias("id"), F.pmod((F.col("id") + 1) * 7919, F.lit(n)).alias("parent_id"))
+    tail = spark.range(n).select((F.col("id") + n).alias("id"), F.when(F.col("id") > 0, F.col("id") + n - 1).otherwise(5).alias("parent_id"))
+    got = resolve_hierarchy(ring.unionByName(tail), paths=False).groupBy("cycle_id", "place").count().collect()
+    assert {tuple(r) for r in got} == {(0, "on", n), (0, "below", n)}
+
+
 def test_hierarchy_of_nothing(spark):
     assert resolve_hierarchy(spark.createDataFrame([], "id bigint, parent_id bigint")).count() == 0
