@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        e = cut_lineage(_star(_star(e, large=True), large=False).where("u <> v").distinct())
+        e = cut_lineage(_star(_star(e, large=True), large=False).where("u <> v").distinct(), looped=True)
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

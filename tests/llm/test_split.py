@@ -55,3 +55,13 @@ def test_repeats_and_nothing(spark):
     df = spark.createDataFrame([(1, "ab"), (1, "ab")], "id int, content string")
     assert split.split_oversized(df, page=None).count() == 2
     assert split.split_oversized(df.limit(0), page=None).count() == 0
+
+
+def test_short_parts_before_long_ones_and_wide_blank_lines_are_boundaries(spark):
+    a, b, c = "a" * 30, "b. " * 50 + "b", "c" * 30
+    for blank in ("\n\n", "\n" + " " * 60 + "\n", "\r\n\t\r\n"):
+        df = spark.createDataFrame([(blank.join((a, b, c)),)], "content string")
+        got = [r["piece"].strip() for r in split.split_oversized(df, page=None, limit=160, overlap=0).orderBy("piece_no").collect()]
+        assert got == [a, b, c]
+    df = spark.createDataFrame([("x" * 150 + "\n" + "y" * 150,)], "content string")
+    assert [(r["piece"], r["piece_cut"]) for r in split.split_oversized(df, page=None, limit=160, overlap=0).orderBy("piece_no").collect()] == [("x" * 150 + "\n", "line"), ("y" * 150, "line")]
