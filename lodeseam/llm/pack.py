@@ -18,12 +18,12 @@ CAPACITY = 2048
 SHARD_ITEMS = 200_000
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def sum_of_squares(sizes: np.ndarray, capacity: int, merge: bool = True) -> np.ndarray:
     """A container number for each item, in the order given.
 
     Each item goes to the fill level (or a new container) that leaves the least sum of squares of the counts
-    of partially filled containers per level. At the end the containers still open are merged, fullest first,
-    each into the fullest one that has room.
+    of partially filled containers per level. At the end the containers still open are merged (``merge``), fullest
+    first, each into the fullest one that has room.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -37,11 +37,11 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
             continue
         # change of the sum for each level h from 0 (a new container) to capacity - s (filled up)
         here, there = count[: capacity - s + 1], count[s : capacity + 1]
-        change = there - here
+        change = 2 * (there - here) + 2
         change[1:][here[1:] == 0] = far
-        change[0] = there[0] + 1
+        change[0] = 2 * there[0] + 1
         if here[-1]:
-            change[-1] = -here[-1]
+            change[-1] = 1 - 2 * here[-1]
         h = int(np.argmin(change))
         if h == 0:
             b = n
@@ -53,6 +53,8 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
         if h + s < capacity:
             open_[h + s].append(b)
             count[h + s] += 1
+    if not merge:
+        return placed
     # what is still open: best fit, fullest first
     into = np.arange(n)
     room: list[list[int]] = [[] for _ in range(capacity + 1)]

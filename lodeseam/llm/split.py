@@ -21,9 +21,9 @@ _BLANK = rf"(?:\f|{_EOL}[ \t]*{_EOL})"
 def piece_pattern(core: int) -> str:
     """Pieces of at most ``core`` characters, with the white space that ends them as far as it fits."""
     some = f".{{1,{core}}}"
-    end = r"(?:(?<=[\n\u000B\u0085  ])|(?<=\r)(?!\n))"
+    end = r"(?:(?<=[\n\u000B\u0085\u2028\u2029])|(?<=\r)(?!\n))"
     # the line that ends here is blank: looked at only where a line ends
-    blank = rf"{end}(?<=(?:\r(?!\n)|[\n\u000B\u0085  ])[ \t]{{0,{core}}}(?:\r\n|[\n\r\u000B\u0085  ]))"
+    blank = rf"{end}(?<=(?:\r(?!\n)|[\n\u000B\u0085\u2028\u2029])[ \t]{{0,{core}}}(?:\r\n|[\n\r\u000B\u0085\u2028\u2029]))"
     return "(?sU)" + "|".join((some + r"\z", some + rf"(?:(?<=\f)|{blank})", some + end, some + r"(?<=[.!?]\s)", some + r"(?<=\s)", some))
 
 

@@ -17,6 +17,26 @@ def test_sum_of_squares_is_valid_and_tight():
     assert len(set(pack.sum_of_squares(np.array([100, 60, 40, 30, 70]), 100))) == 3
 
 
+def test_every_placement_minimises_the_sum_of_squares():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sizes = rng.integers(1, 10, 60)
+        box, levels, level_of = pack.sum_of_squares(sizes, 10, merge=False), np.zeros(11, dtype=int), {}
+        for b, s in zip(box.tolist(), sizes.tolist()):
+            def after(h):
+                n = levels.copy()
+                n[h] -= h > 0
+                n[h + s] += h + s < 10
+                return (n**2).sum()
+
+            ways = {h: after(h) for h in range(11 - s) if h == 0 or levels[h]}
+            h = level_of.get(b, 0)
+            assert after(h) == min(ways.values())
+            levels[h] -= h > 0
+            levels[h + s] += h + s < 10
+            level_of[b] = h + s
+
+
 @pytest.mark.parametrize("shard", [200_000, 50])
 def test_pack_splits_only_the_oversized(spark, monkeypatch, shard):
     monkeypatch.setattr(pack, "SHARD_ITEMS", shard)
@@ -60,8 +80,8 @@ def test_mixture(spark):
     have = Counter()
     for _, s, n in docs:
         have[s] += n
-    copies, shares = mixed(spark, docs, [("a", 0.2, 3), ("b", 0.5, 8), ("tiny", 0.29, 2), ("gone", 0.01, 4)])
     budget = have["a"] + have["b"] + have["tiny"]
+    copies, shares = mixed(spark, docs, [("a", 0.2, 3), ("b", 0.5, 8), ("tiny", 0.29, 2), ("gone", 0.01, 4)], budget=budget)
     for s, share in (("a", 0.2), ("b", 0.5)):
         assert abs(shares[s]["reached"] - share * budget) <= 50 and not shares[s]["short"]
     assert shares["tiny"]["reached"] == 100 and shares["tiny"]["short"] and shares["gone"]["reached"] == 0 and shares["gone"]["short"]
@@ -70,7 +90,20 @@ def test_mixture(spark):
     assert not {9100, 9101} & copies.keys() and all(docs[k][1] != "c" for k in copies if k < 4000)
     assert abs(sum(r["actual_share"] for r in shares.values()) - 1) < 1e-9
     # copies within a round follow the hash only, so the mixture is the same again
-    assert mixed(spark, docs, [("a", 0.2, 3), ("b", 0.5, 8), ("tiny", 0.29, 2), ("gone", 0.01, 4)])[0] == copies
+    assert mixed(spark, docs, [("a", 0.2, 3), ("b", 0.5, 8), ("tiny", 0.29, 2), ("gone", 0.01, 4)], budget=budget)[0] == copies
+
+
+def test_a_budget_is_chosen_that_sources_can_fill(spark):
+    docs = [(i, "a", 10) for i in range(1000)] + [(2000 + i, "b", 10) for i in range(100)]
+    for shortfall, most in ((0.0, 4000), (0.1, 5000), (1.0, 11_000)):  # b has 1,000, twice: half of 4,000, 0.4 of 5,000
+        _, shares = mixed(spark, docs, [("a", 0.5, 3), ("b", 0.5, 2)], shortfall=shortfall)
+        assert abs(shares["a"]["wanted"] - most / 2) <= 5 and shares["b"]["short"] == (shortfall > 0)
+
+
+def test_a_document_too_large_for_the_rest_is_passed_over(spark):
+    docs = [(i, "a", 1000 if i % 2 else 7) for i in range(60)]
+    copies, shares = mixed(spark, docs, [("a", 1.0, 1)], budget=3140)
+    assert 3140 * 0.995 <= shares["a"]["reached"] <= 3140 and not shares["a"]["short"]
 
 
 def test_mixture_of_odd_tables(spark):
