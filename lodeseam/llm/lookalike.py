@@ -1,15 +1,18 @@
 """One form for texts that look the same.
 
 Strings that look alike are joined by union-find over strings and code points, so that a full-width Cyrillic-
-shaped letter, its ordinary form and the Latin letter end in one class. Each class is represented by its most
-frequent member in the corpus, and an automaton over all other members rewrites the texts greedily.
+shaped letter, its ordinary form and the Latin letter end in one class; a longer string is joined with what it
+becomes letter by letter. An automaton over all members of all classes rewrites the texts greedily, to the plainest
+member while texts are compared, and to the one most frequent in the corpus when they come out.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import cache
 from typing import NamedTuple
 
@@ -22,19 +25,26 @@ from lodeseam.session import cut_lineage
 # Letters of other alphabets and the Latin letters of the same shape.
 SAME_SHAPE = {
     # Cyrillic
-    "А": "A", "В": "B", "Е": "E", "З": "3", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I", "Ѵ": "V",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
     # Greek
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J", "Ϲ": "C", "ο": "o", "ϲ": "c", "ϳ": "j",
-    # Armenian, and the micro sign, which is the Greek letter
-    "Օ": "O", "օ": "o", "Տ": "S", "Լ": "L", "µ": "μ",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J", "Ϲ": "C", "ο": "o", "ϲ": "c", "ϳ": "j", "ν": "v", "ρ": "p",
+    # Armenian, the micro sign, which is the Greek letter, and the Latin letter of phonetic script
+    "Օ": "O", "օ": "o", "Տ": "S", "Լ": "L", "Ս": "U", "հ": "h", "ո": "n", "ս": "u", "µ": "μ", "ɡ": "g",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮲ": "P", "Ꮯ": "C", "Ꮮ": "L", "Ꮶ": "K",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
-del SAME_SHAPE["З"]  # a letter and a figure are told apart by what stands around them
 
 #: Code points outside category Cf that show nothing.
 UNSEEN = "͏ᅟᅠ឴឵ㅤﾠ᠋᠌᠍᠏"
 #: The decompositions taken to look like what they decompose to; joined letters are <compat> ones of letters only.
 PLAIN_TAGS = ("<wide>", "<narrow>")
+#: ASCII that shows nothing.
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
 
 
 class UnionFind:
@@ -96,65 +106,92 @@ def look_alikes() -> UnionFind:
             uf.join(c, unicodedata.normalize("NFD", c))
         elif parts[0] == "<compat>":
             to = [chr(int(x, 16)) for x in parts[1:]]
-            if len(to) > 1 and all(unicodedata.category(x)[0] == "L" for x in to) and unicodedata.category(c)[0] == "L":
+            # joined letters, and the letters that Roman numerals are
+            roman = unicodedata.category(c) == "Nl"
+            if all(unicodedata.category(x)[0] == "L" for x in to) and (roman or (len(to) > 1 and unicodedata.category(c)[0] == "L")):
                 uf.join(c, "".join(to))
     for a, b in SAME_SHAPE.items():
         uf.join(a, b)
+    # a string looks like what its letters look like, accents put together
+    more = True
+    while more:
+        more, best = False, {m: plainest(v) for v in uf.classes() for m in v}
+        for m in [m for m in uf.up if len(m) > 1]:
+            to = unicodedata.normalize("NFC", "".join(best.get(c, c) for c in unicodedata.normalize("NFD", m)))
+            if uf.find(to) != uf.find(m):
+                uf.join(m, to)
+                more = True
     return uf
 
 
-@cache
-def base_forms() -> dict[str, str]:
-    """For each code point of a class with others its shortest spelling in units that stand for nothing else."""
-    uf = look_alikes()
-    units: dict[str, str] = {}
-    for members in uf.classes():
-        if "" in members:
-            units |= dict.fromkeys((m for m in members if m), "")
-            continue
-        longest = max(len(m) for m in members)
-        # decomposed spellings win over composed ones, plain ASCII over other letters
-        best = min((m for m in members if len(m) == longest), key=lambda m: (sum(ord(x) > 127 for x in m), [ord(x) for x in m]))
-        units |= {m: best for m in members if len(m) == 1 and m != best}
-    # a base may itself hold members of other classes: follow to the end
-    out: dict[str, str] = {}
-    for c, to in units.items():
-        for _ in range(8):
-            to, before = "".join(units.get(x, x) for x in to), to
-            if to == before:
-                break
-        out[c] = to
-    return out
+def plainest(members: list[str]) -> str:
+    """The member that all are compared by: accents composed, plain ASCII over other letters, letters apart over joined ones."""
+    return "" if "" in members else min((unicodedata.normalize("NFC", m) for m in members), key=lambda m: (sum(ord(x) > 127 for x in m), -len(m), [ord(x) for x in m]))
 
 
 class Tables(NamedTuple):
-    """What the workers need: the base of single code points, and all members of each class by its base."""
+    """What the workers need: the plainest member for each other member, and all members of each class by its plainest."""
 
-    base: dict[int, str]
+    plain: dict[str, str]
     variants: dict[str, list[str]]
 
 
-def _base(text: str, table: dict[int, str]) -> str:
-    if text.isascii() and text.isprintable():
-        return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text.translate(table)).translate(table))
-
-
 @cache
 def tables() -> Tables:
     """Built once on the driver from all of Unicode, and shipped with the tasks; their size is bounded by it."""
-    base = {ord(k): v for k, v in base_forms().items()}
-    variants: dict[str, set[str]] = {}
+    plain: dict[str, str] = {}
+    variants: dict[str, list[str]] = {}
     for members in look_alikes().classes():
-        for m in members:
-            if b := _base(m, base):
-                variants.setdefault(b, {b}).add(m)
-    return Tables(base, {b: sorted(v) for b, v in variants.items()})
+        best = plainest(members)
+        plain |= {m: best for m in members if m != best}
+        if best:
+            variants[best] = sorted({*members, best})
+    return Tables(plain, variants)
+
+
+def automaton(forms: dict[str, str]) -> Callable[[str], str]:
+    """A function that rewrites every key of ``forms`` in a text, leftmost and longest first."""
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for a, b in forms.items():
+        auto.add_word(a, (len(a), b))
+    if not forms:
+        return lambda text: text
+    auto.make_automaton()
+
+    def rewrite(text: str) -> str:
+        out, at = [], 0
+        for end, (n, to) in auto.iter_long(text):
+            out += [text[at : end + 1 - n], to]
+            at = end + 1
+        return "".join([*out, text[at:]]) if out else text
+
+    return rewrite
+
+
+def comparer(of: Tables) -> Callable[[str], str]:
+    """A function whose results are equal for two texts exactly if they look the same.
+
+    Characters that go, or change, can bring others together: composing and rewriting are repeated until nothing changes.
+    """
+    rewrite = automaton(of.plain)
+
+    def compare(text: str) -> str:
+        if text.isascii() and not _CONTROL.search(text):
+            return text
+        while True:
+            text = unicodedata.normalize("NFC", text)
+            text, before = rewrite(text), text
+            if text == before:
+                return text
+
+    return compare
 
 
 def base_string(text: str) -> str:
     """Equal for two texts exactly if they look the same."""
-    return _base(text, tables().base)
+    return comparer(tables())(text)
 
 
 def count_forms(docs: DataFrame, text: str) -> DataFrame:
@@ -185,38 +222,16 @@ def count_forms(docs: DataFrame, text: str) -> DataFrame:
 
 
 def representatives(counts: dict[str, int], variants: dict[str, list[str]]) -> dict[str, str]:
-    """Base string of each class to its most frequent member; ties prefer the composed, then the smaller form."""
-    return {b: max(v, key=lambda m: (counts.get(m, 0), -len(m), [-ord(x) for x in m])) for b, v in variants.items()}
+    """Plainest member of each class to its most frequent one; ties prefer the plainest, the composed, then the smaller form."""
+    return {b: max(v, key=lambda m: (counts.get(m, 0), m == b, -len(m), [-ord(x) for x in m])) for b, v in variants.items()}
 
 
-def rewriter(counts: dict[str, int], of: Tables | None = None):
-    """A function that rewrites a text to its one form.
-
-    The automaton holds every member of every class that is not its representative; it rewrites leftmost and
-    longest first. Joined letters and stacked accents can meet in ways no single pattern holds, so the
-    rewriting runs on the base string, which equal looks share.
-    """
-    import ahocorasick
-
+def rewriter(counts: dict[str, int], of: Tables | None = None) -> Callable[[str], str]:
+    """A function that rewrites a text to its one form, in the most frequent members."""
     of = of or tables()
-    rep = {b: r for b, r in representatives(counts, of.variants).items() if b != r}
-    auto = ahocorasick.Automaton()
-    for b, r in rep.items():
-        auto.add_word(b, (len(b), r))
-    auto.make_automaton()
-    ascii_only = [b for b in rep if b.isascii()]
-
-    def rewrite(text: str) -> str:
-        base = _base(text, of.base)
-        if not rep or (base.isascii() and not ascii_only):
-            return base
-        out, at = [], 0
-        for end, (n, r) in auto.iter_long(base):
-            out += [base[at : end + 1 - n], r]
-            at = end + 1
-        return "".join([*out, base[at:]]) if out else base
-
-    return rewrite
+    frequent = {b: r for b, r in representatives(counts, of.variants).items() if b != r}
+    compare, rewrite = comparer(of), automaton(frequent)
+    return lambda text: rewrite(compare(text))
 
 
 def unify_look_alikes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -226,7 +241,7 @@ def unify_look_alikes(docs: DataFrame, text: str = "text") -> DataFrame:
     letters, any space character and the plain space, characters that show nothing and none, and letters of
     the same shape of Latin, Cyrillic, Greek and Armenian, all transitively. Case, accents, raised, circled
     and fraction forms stay apart, as do tabs and line ends. Null stays null; an empty text, and one of
-    unseen characters only, becomes empty. The counts that choose representatives cover all texts; they are
+    unseen characters only, becomes empty. Letters of Coptic, Cherokee and Lisu and Roman numerals count, too. The counts that choose representatives cover all texts; they are
     bounded by Unicode and go to the workers with the task. A column named ``unified`` is replaced.
     """
     counts = {r["form"]: r["n"] for r in count_forms(docs, text).collect()}
@@ -254,11 +269,15 @@ def look_alike_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def look_alike_pairs(classes: DataFrame, key: str = "doc_id") -> DataFrame:
     """``a, b`` with a < b: documents whose texts are different strings but look the same.
 
-    Classes of one string only never reach the join, whose rows are the result itself.
+    Classes of one string only never reach the joins; copies of one string are never joined with each other.
     """
-    classes = cut_lineage(classes)  # read three times
-    several = classes.groupBy("class_id").agg(F.count_distinct("variant").alias("n")).where("n > 1").select("class_id")
-    c = classes.join(several, "class_id", "left_semi")
-    a = c.select("class_id", F.col(key).alias("a"), F.col("variant").alias("va"))
-    b = c.select("class_id", F.col(key).alias("b"), F.col("variant").alias("vb"))
-    return a.join(b, "class_id").where("a < b and va <> vb").select("a", "b").distinct()
+    classes = cut_lineage(classes)  # read several times
+    strings = classes.groupBy("class_id", "variant").agg(F.count("*").alias("n"))
+    several = strings.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    strings = cut_lineage(strings.join(several, "class_id", "left_semi").select("class_id", "variant"))
+    # different strings first, each pair once; copies of a string are put in last, as rows of the result
+    pairs = strings.withColumnRenamed("variant", "va").join(strings.withColumnRenamed("variant", "vb"), "class_id").where("va < vb")
+    held = classes.join(strings, ["class_id", "variant"], "left_semi")
+    one = lambda v, k: held.select("class_id", F.col("variant").alias(v), F.col(key).alias(k))
+    out = pairs.join(one("va", "x"), ["class_id", "va"]).join(one("vb", "y"), ["class_id", "vb"])
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()

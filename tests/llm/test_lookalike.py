@@ -2,7 +2,7 @@ import unicodedata
 
 from lodeseam.llm import lookalike as la
 
-SAME = [("ＡＢＣ１", "ABC1"), ("é", "é"), ("ﬁne", "fine"), ("a b", "a b"), ("a　b", "a b"), ("a​b­", "ab"), ("раs", "pas"), ("Ο", "O"), ("е́", "é"), ("ﬃx", "ffix"), ("ệ", "ệ"), ("µ", "μ"), ("", "‍"), ("Å", "Å"), ("ｶﾞ", "ガ"), ("각", "각")]
+SAME = [("ＡＢＣ１", "ABC1"), ("é", "é"), ("ﬁne", "fine"), ("a b", "a b"), ("a　b", "a b"), ("a​b­", "ab"), ("раs", "pas"), ("Ο", "O"), ("е́", "é"), ("ﬃx", "ffix"), ("ệ", "ệ"), ("µ", "μ"), ("", "‍"), ("Å", "Å"), ("ｶﾞ", "ガ"), ("각", "각"), ("ѐ", "è"), ("Ⅳ", "IV"), ("ꓮꓐꓚ", "ABC"), ("ậ", "ậ"), ("e\u200b\u0301", "é"), ("ρоrt", "port"), ("x\x00y", "xy")]
 DIFFERENT = [("A", "a"), ("é", "e"), ("²", "2"), ("①", "1"), ("½", "1/2"), ("a  b", "a b"), ("a\tb", "a b"), ("a\nb", "a b"), ("™", "TM"), ("α", "a"), ("-", "–"), ("ß", "ss"), ("a b", "ab")]
 
 
@@ -13,6 +13,18 @@ def test_looks():
         assert la.base_string(a) != la.base_string(b), (a, b)
 
 
+def test_every_member_of_a_class_becomes_one_form():
+    of = la.tables()
+    compare = la.comparer(of)
+    for plain, members in of.variants.items():
+        assert {compare(m) for m in members} == {compare(plain)} and compare(compare(plain)) == compare(plain)
+
+
+def test_copies_are_not_joined_with_each_other(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "if(id = 7, 'fооd', 'food') as text")
+    assert la.look_alike_pairs(la.look_alike_classes(df)).count() == 4999
+
+
 def test_union_find_is_transitive():
     uf = la.UnionFind()
     for a, b in (("x", "y"), ("z", "y"), ("p", "q")):
