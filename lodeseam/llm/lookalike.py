@@ -176,12 +176,16 @@ def comparer(of: Tables) -> Callable[[str], str]:
     Characters that go, or change, can bring others together: composing and rewriting are repeated until nothing changes.
     """
     rewrite = automaton(of.plain)
+    # every member has one of these, so a text without them, accents composed, is in its one form
+    telling = {c for m in of.plain for c in m if ord(c) > 127} | {m for m in of.plain if len(m) == 1}
 
     def compare(text: str) -> str:
         if text.isascii() and not _CONTROL.search(text):
             return text
         while True:
             text = unicodedata.normalize("NFC", text)
+            if telling.isdisjoint(text):
+                return text
             text, before = rewrite(text), text
             if text == before:
                 return text
