@@ -25,9 +25,10 @@ PARTS, D, R = 14, 11, 2
 SYMBOLS = PARTS * D
 #: Keys that one task looks through at a time.
 BUCKET_KEYS = 1_500_000
-#: A key of more rows than this is looked through in pairs of blocks of about this size.
-BLOCK = 2000
-#: Such keys are found among those with more than this share of a batch, so there are few.
+#: A key of more rows than this, whatever their share, is looked through in pairs of blocks of about this size, and
+#: only pairs go on whose sketches agree in so many symbols as a similar pair has but for SIGMAS standard deviations.
+BLOCK, SIGMAS = 2000, 6
+#: Keys with more than this share of all rows never enter one task; there are at most TABLES / HOT_SHARE of them.
 HOT_SHARE = 0.01
 
 _WORD = re.compile(r"[^\W_]+")
@@ -95,22 +96,21 @@ def sketch(df: DataFrame, key: str, text: str, width: int, least_words: int) ->
                     continue
                 digest = xxhash.xxh128_digest(" ".join(words))
                 s = _shingles(words, width, cache)
-                short = np.unique((s >> np.uint64(32)).astype("<u4"))
-                rows.append((i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), short.tobytes(), _symbols(s).tobytes()))
+                rows.append((i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), s.astype("<u8").tobytes(), _symbols(s).tobytes()))
             yield pd.DataFrame(rows, columns=["id", "d", "e", "shingles", "symbols"])
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).where("id is not null and t is not null")
     return rows.mapInPandas(run, "id bigint, d bigint, e bigint, shingles binary, symbols binary")
 
 
-def _within(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Distinct pairs (a < b) of ids that share a key."""
+def _within(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs a < b of ids that share a key, members (key, id) of the keys with more than BLOCK ids)."""
     order = np.argsort(key, kind="stable")
     key, ids = key[order], ids[order]
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(edge)
     out = []
-    for g in np.unique(size[size > 1]):
+    for g in np.unique(size[(size > 1) & (size <= BLOCK)]):
         at = edge[:-1][size == g]
         i, j = np.triu_indices(g, 1)
         step = max(1, 2_000_000 // len(i))
@@ -118,15 +118,16 @@ def _within(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
             a, b = (ids[(at[lo : lo + step, None] + x).ravel()] for x in (i, j))
             out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
-    return pairs[pairs[:, 0] < pairs[:, 1]]
+    many = np.repeat(size > BLOCK, size)
+    return pairs[pairs[:, 0] < pairs[:, 1]], np.stack([key[many], ids[many]], axis=1)
 
 
-def _pairs_frame(pairs: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def candidates(reps: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``a, b``: distinct pairs of ``reps`` (``id, symbols``) that share the key of some table.
 
-
-def candidates(reps: DataFrame, n: int) -> DataFrame:
-    """``a, b``: distinct pairs of ``reps`` (``id, symbols``) that share the key of some table."""
+    Keys of up to BLOCK rows are paired where they meet. Larger ones go on as members only, and are paired block by
+    block: a task holds two blocks, and returns the pairs whose whole sketches agree as similar ones do.
+    """
     keys_of = lambda pdf: table_keys(np.frombuffer(b"".join(pdf["symbols"]), dtype="<u4").reshape(-1, SYMBOLS))
 
     def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,61 +138,86 @@ def candidates(reps: DataFrame, n: int) -> DataFrame:
                 yield pd.DataFrame({"k": k[some], "c": c[some]})
 
     # at most TABLES / HOT_SHARE keys can hold such a share of all batches
-    hot: dict[int, int] = {}
+    hot: list[int] = []
     if n > BLOCK:
         counted = reps.select("symbols").mapInPandas(frequent, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
-        hot = {r["k"]: r["c"] for r in counted.where(F.col("c") > max(BLOCK, HOT_SHARE * n / 2)).collect()}
+        hot = [r["k"] for r in counted.where(F.col("c") > max(BLOCK, HOT_SHARE * n / 2)).select("k").collect()]
     hot_list = np.array(sorted(hot), dtype=np.int64)
-    blocks_of = {k: math.ceil(c * 1.5 / BLOCK) for k, c in hot.items()}
     buckets = max(1, math.ceil(n * TABLES / BUCKET_KEYS))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            key = keys_of(pdf)
+            key = keys_of(pdf).ravel()
             ids = np.repeat(pdf["id"].to_numpy(), TABLES)
-            key = key.ravel()
-            if len(hot_list):
-                cold = ~np.isin(key, hot_list)
-                key, ids = key[cold], ids[cold]
-            bucket = (key.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+            # bucket -1: members of the most frequent keys, which pass by
+            bucket = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            bucket[np.isin(key, hot_list)] = -1
             order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            some = [b for b in range(buckets) if edge[b + 1] > edge[b]]
-            yield pd.DataFrame(
-                {"bucket": some, "k": [key[order[edge[b] : edge[b + 1]]].tobytes() for b in some], "i": [ids[order[edge[b] : edge[b + 1]]].tobytes() for b in some]}
-            )
+            edge = np.searchsorted(bucket[order], np.arange(-1, buckets + 1))
+            some = [b for b in range(-1, buckets) if edge[b + 2] > edge[b + 1]]
+            spans = [order[edge[b + 1] : edge[b + 2]] for b in some]
+            yield pd.DataFrame({"bucket": some, "k": [key[x].tobytes() for x in spans], "i": [ids[x].tobytes() for x in spans]})
+
+    def rows_of(pairs: np.ndarray, members: np.ndarray) -> pd.DataFrame:
+        both = np.concatenate([pairs, members])
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "pair": np.arange(len(both)) < len(pairs)})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         k, i = (np.frombuffer(b"".join(pdf[c]), dtype=np.int64) for c in ("k", "i"))
-        return _pairs_frame(_within(k, i))
+        return rows_of(*_within(k, i))
+
+    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            k, i = (np.frombuffer(b"".join(pdf[c]), dtype=np.int64) for c in ("k", "i"))
+            yield rows_of(np.empty((0, 2), dtype=np.int64), np.stack([k, i], axis=1))
 
     dealt = reps.select("id", "symbols").mapInPandas(deal, "bucket bigint, k binary, i binary")
-    found = dealt.groupBy("bucket").applyInPandas(meet, "a bigint, b bigint")
+    kind = "a bigint, b bigint, pair boolean"
+    found = dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, kind)
     if hot:
+        found = found.unionByName(dealt.where("bucket < 0").mapInPandas(passing, kind))
+    found = cut_lineage(found)
+    pairs = found.where("pair").select("a", "b")
+    members = found.where("not pair").select(F.col("a").alias("k"), F.col("b").alias("id")).distinct()
+    if members.isEmpty():
+        return pairs.distinct()
+    blocks = members.groupBy("k").agg(F.ceil(F.count("*") * 1.5 / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spread = members.join(blocks, "k").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("k", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id")
+    # one byte of each symbol is enough to compare sketches by: it can only make them more alike
+    small = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", _bytes("symbols").alias("s"))
+    need = max(0.0, threshold * SYMBOLS - SIGMAS * math.sqrt(threshold * (1 - threshold) * SYMBOLS))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, ids = pdf["own"].to_numpy(), pdf["id"].to_numpy()
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        s = np.frombuffer(b"".join(pdf["s"]), dtype=np.uint8).reshape(-1, SYMBOLS)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        out = []
+        for lo in range(0, len(left), 256):
+            mine = left[lo : lo + 256]
+            alike = np.zeros((len(mine), len(right)), dtype=np.uint8)
+            for j in range(SYMBOLS):
+                alike += s[mine, j][:, None] == s[right, j][None, :]
+            r, c = np.nonzero(alike >= need)
+            out.append(np.stack([ids[mine[r]], ids[right[c]]], axis=1))
+        both = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+        both = both[both[:, 0] != both[:, 1]] if x != y else both[both[:, 0] < both[:, 1]]
+        return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)}) if len(both) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    more = spread.join(small, "id").groupBy("k", "x", "y").applyInPandas(across, "a bigint, b bigint")
+    return pairs.unionByName(more).distinct()
+
+
+def _bytes(symbols: str) -> Column:
+    @F.pandas_udf("binary")
+    def low(s: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, dtype=np.uint8)[::4].tobytes() for x in s], dtype="object")
 
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                key = keys_of(pdf) if len(pdf) else np.empty((0, TABLES), dtype=np.int64)
-                r, c = np.nonzero(np.isin(key, hot_list))
-                out = []
-                for i, k in zip(pdf["id"].to_numpy()[r], key[r, c], strict=True):
-                    n_blocks = blocks_of[int(k)]
-                    own = int(i * 0x9E3779B1 >> 16) % n_blocks
-                    out += [(k, min(own, o), max(own, o), own, i) for o in range(n_blocks)]
-                yield pd.DataFrame(out, columns=["k", "x", "y", "own", "id"])
-
-        def across(pdf: pd.DataFrame) -> pd.DataFrame:
-            x, y, own, ids = (pdf[c].to_numpy() for c in ("x", "y", "own", "id"))
-            left, right = ids[own == x[0]], ids[own == y[0]]
-            a, b = (g.ravel() for g in np.meshgrid(left, right))
-            pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-            return _pairs_frame(np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0))
-
-        blocks = reps.select("id", "symbols").mapInPandas(spread, "k bigint, x int, y int, own int, id bigint")
-        found = found.unionByName(blocks.groupBy("k", "x", "y").applyInPandas(across, "a bigint, b bigint"))
-    return found.distinct()
+    return low(symbols)
 
 
 def _jaccard(x: str, y: str) -> Column:
@@ -199,7 +225,7 @@ def _jaccard(x: str, y: str) -> Column:
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y, strict=True):
-            a, b = np.frombuffer(p, dtype="<u4"), np.frombuffer(q, dtype="<u4")
+            a, b = np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8")
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(both / (len(a) + len(b) - both))
         return pd.Series(out, dtype="float64")
@@ -215,8 +241,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     letters and digits, lower-cased. Null texts, null keys and texts of fewer than ``least_words`` words (or
     than ``width``) are not looked at. Keys must be unique. Whole texts count, of any length. Candidates come
     from the covering tables only; a pair above the threshold is missed only if its sketches differ in more
-    than PARTS * (R + 1) - 1 of SYMBOLS symbols, and then seldom. Copies never enter the tables; keys that
-    very many texts share are looked through in bounded blocks.
+    than PARTS * (R + 1) - 1 of SYMBOLS symbols, and then seldom. Copies never enter the tables; keys that more than
+    BLOCK texts share are looked through in bounded blocks, and only pairs with sketches alike leave them.
     """
     base = cut_lineage(sketch(df, key, text, width, least_words))
     copies = base.groupBy("d", "e").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
@@ -224,7 +250,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     members = base.select("id").join(copy, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     reps = base.join(copy.select("id"), "id", "left_anti")
     n = base.count() - copy.count()
-    pairs = cut_lineage(candidates(reps, n))
+    pairs = cut_lineage(candidates(reps, n, threshold))
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = base.select("id", "shingles").join(need, "id", "left_semi")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")

@@ -41,7 +41,6 @@ def test_masks_cover_every_set_of_places():
 def test_like_brute_force(spark, hot, monkeypatch):
     if hot:  # keys that many texts share are looked through in pairs of blocks
         monkeypatch.setattr(neardup, "BLOCK", 3)
-        monkeypatch.setattr(neardup, "HOT_SHARE", 0.001)
     texts = corpus()
     df = spark.createDataFrame([(i, t, "a", 1) for i, t in enumerate(texts)], "id bigint, t string, rep string, d int")
     members, links = neardup.near_duplicates(df, "id", "t", 0.6, 3)
@@ -56,6 +55,17 @@ def test_like_brute_force(spark, hot, monkeypatch):
         assert groups[a][0] == groups[b][0]
 
 
+def test_a_key_shared_by_many_unlike_texts_sends_no_pairs_on(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    symbols = rng.integers(0, 1 << 32, (400, neardup.SYMBOLS), dtype=np.uint64).astype("<u4")
+    symbols[:, : neardup.D] = 7  # all agree on one part, and only two on more
+    symbols[9] = symbols[8]
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(symbols)]
+    got = neardup.candidates(spark.createDataFrame(rows, "id bigint, symbols binary"), 400, 0.6)
+    assert [tuple(r) for r in got.collect()] == [(8, 9)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "too short"), (None, "a b c d e f g"), (5, "a b c d e f g"), (6, "A, b. c d E f g!"), (7, "x " * 200_000), (8, "… — !")]
     members, links = neardup.near_duplicates(spark.createDataFrame(rows, "id bigint, t string"), "id", "t")
