@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 import re
 from collections import ChainMap, Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.session import cut_lineage, hot_keys, salted_lookup
@@ -32,6 +32,12 @@ COMMON_SHARE = 1e-4
 #: fewer times do for a confusion that explains at least USUAL of all misread words.
 RATIO, LEAST = 20.0, 5
 USUAL, USUAL_RATIO, USUAL_LEAST = 0.02, 4.0, 3
+#: A word that two confusions explain must be met so seldom, and its candidate so much more often for each.
+TWICE_MOST = 2
+#: Ways to read a word's figures that are tried place by place.
+EACH_PLACE = 4096
+#: How much less likely a printed word has figures or signs among its letters than not, and the count of a word never met.
+PRINTED, UNMET = 1e-3, 0.5
 #: Occurrences by which a word's pairs are damped.
 PAIR_PRIOR = 50
 #: A running head stands on at least so many pages of its source.
@@ -64,7 +70,7 @@ def bigram_hash(a: int, b: int) -> int:
 
 
 def count_corpus(rows: DataFrame, text: str) -> DataFrame:
-    """``h, n``: hashes of all words, hyphenated compounds and pairs of neighbouring words in all texts, and their counts."""
+    """``h, n``: hashes of all words, words with figures or signs inside, hyphenated compounds and pairs of neighbouring words in all texts, and their counts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: dict[str, int] = {}
@@ -77,6 +83,8 @@ def count_corpus(rows: DataFrame, text: str) -> DataFrame:
                 low = t.lower()
                 found = _WORD.findall(low)
                 words.update(found)
+                if _ALIEN.search(low):
+                    words.update(w for w in _TOKEN.findall(low) if _ALIEN.search(w) and not w.isdecimal())
                 if "-" in low:
                     words.update(_COMPOUND.findall(low))
                 for w in found:
@@ -130,12 +138,16 @@ def head_keys(line: str) -> list[str]:
     """Keys that two readings of one running head share although each may have a character misread, or two.
 
     The line without its number, in small letters, is cut into four stretches; a key is its length and two of
-    the stretches, so readings that differ in at most two places agree on one.
+    the stretches, so readings that differ in at most two places agree on one. Of fewer than six letters, two places
+    tell nothing: such a line has only itself as a key.
     """
     t = strip_number(line)[0].lower()
-    if sum(c.isalpha() for c in t) < 6 or page_number(line) is not None:
+    letters = sum(c.isalpha() for c in t)
+    if letters < 2 or page_number(line) is not None:
         return []
     n = len(t)
+    if letters < 6:
+        return [f"{n}|{t}"]
     cut = [t[n * i // 4 : n * (i + 1) // 4] for i in range(4)]
     return [f"{n}|{i}{j}|{cut[i]}|{cut[j]}" for i, j in combinations(range(4), 2)]
 
@@ -262,18 +274,34 @@ def readings(word: str) -> dict[str, str]:
     w = word.lower()
     out: dict[str, str] = {}
     alien = [i for i, c in enumerate(w) if _ALIEN.match(c)]
-    if alien:
-        if len(alien) <= 4:
-            for to in product(*(CONFUSIONS.get(w[i], ()) for i in alien)):
-                s = list(w)
-                for i, c in zip(alien, to, strict=True):
-                    s[i] = c
-                out.setdefault("".join(s), f"{w[alien[0]]}>{to[0]}")
-            for c in list(out):
-                for d, how in _single(c).items():
-                    out.setdefault(d, how + "*")
-        return out
-    return _single(w)
+    if not alien:
+        return _single(w)
+    options = [CONFUSIONS.get(w[i], ()) for i in alien]
+    if math.prod(map(len, options)) <= EACH_PLACE:
+        for to in product(*options):
+            s = list(w)
+            for i, c in zip(alien, to, strict=True):
+                s[i] = c
+            out.setdefault("".join(s), f"{w[alien[0]]}>{to[0]}")
+    else:  # so many figures: the same one is the same letter wherever it occurs
+        kinds = sorted({w[i] for i in alien})
+        for to in product(*(CONFUSIONS.get(c, ()) for c in kinds)):
+            out.setdefault("".join(dict(zip(kinds, to, strict=True)).get(c, c) for c in w), f"{kinds[0]}>{to[0]}")
+    for c in list(out):
+        for d, how in _single(c).items():
+            out.setdefault(d, how + "*")
+    return out
+
+
+def twice(word: str) -> dict[str, str]:
+    """What may have been printed where two different confusions of letters happened: candidate to ``first+second``."""
+    out: dict[str, str] = {}
+    once = _single(word.lower())
+    for c, how in once.items():
+        for d, more in _single(c).items():
+            if d != word and d not in once:
+                out.setdefault(d, f"{how}+{more}")
+    return out
 
 
 def _single(w: str) -> dict[str, str]:
@@ -308,6 +336,11 @@ def corrections(types: DataFrame, counts: DataFrame) -> DataFrame:
             out = [(w, hash_of(w), c, hash_of(c), how) for w in pdf["w"] for c, how in readings(w).items()]
             yield pd.DataFrame(out, columns=["w", "wh", "c", "ch", "how"])
 
+    def undo_twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(w, nw, c, hash_of(c), how) for w, nw in zip(pdf["w"], pdf["nw"], strict=True) for c, how in twice(w).items()]
+            yield pd.DataFrame(out, columns=["w", "nw", "c", "ch", "how"])
+
     tried = types.mapInPandas(undo, "w string, wh bigint, c string, ch bigint, how string")
     known = tried.join(counts.select(F.col("h").alias("ch"), F.col("n").alias("nc")), "ch")
     known = known.join(counts.select(F.col("h").alias("wh"), F.col("n").alias("nw")), "wh", "left")
@@ -323,10 +356,25 @@ def corrections(types: DataFrame, counts: DataFrame) -> DataFrame:
         return fits.select("w", F.array(F.struct("c", "nc", F.lit(0.0).alias("p"))).alias("cands")).limit(0)
     p = F.try_element_at(F.create_map(*[x for k, v in prob.items() for x in (F.lit(k), F.lit(v))]), F.col("how"))
     # a confusion that explains next to nothing is chance, unless a figure proves the word misread
-    scored = fits.withColumn("p", F.coalesce(p, F.lit(0.001))).where(F.col("alien") | (F.col("sure") & (F.col("p") > 0.0005)) | (F.col("p") >= USUAL))
+    scored = fits.withColumn("p", F.coalesce(p, F.lit(0.001))).where(F.col("alien") | (F.col("sure") & (F.col("p") > 0.0005)) | (F.col("p") >= USUAL)).select("w", "c", "nc", "p")
+    # words met once or twice that no single confusion explains: two, each of them usual
+    left = types.where(~alien).withColumn("wh", _hash("w")).join(counts.where(F.col("n") <= TWICE_MOST).select(F.col("h").alias("wh"), F.col("n").alias("nw")), "wh")
+    left = left.join(scored.select("w").distinct(), "w", "left_anti").select("w", "nw")
+    more = left.mapInPandas(undo_twice, "w string, nw bigint, c string, ch bigint, how string").join(counts.select(F.col("h").alias("ch"), F.col("n").alias("nc")), "ch")
+    each = [F.coalesce(F.try_element_at(F.create_map(*[x for k, v in prob.items() for x in (F.lit(k), F.lit(v))]), F.split("how", r"\+", -1)[i]), F.lit(0.0)) for i in (0, 1)]
+    more = more.where(F.col("nc") >= LEAST * RATIO * F.col("nw")).where(F.least(*each) >= USUAL).select("w", "c", "nc", (each[0] * each[1]).alias("p"))
+    scored = scored.unionByName(more)
     return scored.groupBy("w").agg(F.reverse(F.array_sort(F.collect_list(F.struct((F.col("nc") * F.col("p")).alias("s"), "c", "nc", "p")))).alias("cands")).select("w", F.transform("cands", lambda x: F.struct(x["c"].alias("c"), x["nc"].alias("nc"), x["p"].alias("p"))).alias("cands"))
 
 
+def _hash(c: str) -> Column:
+    @F.pandas_udf("bigint")
+    def of(s: pd.Series) -> pd.Series:
+        return pd.Series([hash_of(x) for x in s], dtype="int64")
+
+    return of(F.col(c))
+
+
 def decode(options: list[list[tuple[str, float, float]]], pair: dict[int, int], total: float) -> list[str]:
     """The likeliest printed words of a line: Viterbi over (word, its count, probability of the reading) per place."""
     best: list[tuple[float, list[int]]] = []
@@ -386,9 +434,17 @@ def repair_pages(rows: DataFrame, corpus: DataFrame | None = None, key: str = "i
         n |= {w: common[h] for w in p.asks() if (h := hash_of(w)) in common}
         return p, p.join(n)
 
+    def settled(w: str, memo: dict[str, bool]) -> bool:
+        """A common word that is not a misreading of one far more common."""
+        if w not in memo:
+            n = common.get(hash_of(w))
+            memo[w] = n is not None and not any(common.get(hash_of(c), 0) >= RATIO * n for c in readings(w))
+        return memo[w]
+
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, bool] = {}
         for pdf in batches:
-            out = [(r.id, w) for r in pdf.itertuples() for w in {w.lower() for line in joined(r)[0].words() for _, _, w in line} if hash_of(w) not in common]
+            out = [(r.id, w) for r in pdf.itertuples() for w in {w.lower() for line in joined(r)[0].words() for _, _, w in line} if not settled(w, memo)]
             yield pd.DataFrame(out, columns=["id", "w"])
 
     seen = cut_lineage(pages.mapInPandas(rare, "id bigint, w string"))
@@ -396,34 +452,43 @@ def repair_pages(rows: DataFrame, corpus: DataFrame | None = None, key: str = "i
     fixes = seen.join(wrong, "w").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "cands"))).alias("fixes"))
     pages = cut_lineage(pages.join(fixes, "id", "left"))
 
-    def lattice(p: Page, fixes: dict) -> Iterator[tuple[int, list, list]]:
+    def lattice(p: Page, fixes: dict, count: Mapping[int, int]) -> Iterator[tuple[int, list, list]]:
+        """Per line with a word in doubt: (line, its words, per word the (candidate, count, probability of the reading))."""
         for i, line in enumerate(p.words()):
-            if not any(w.lower() in fixes for _, _, w in line):
+            if not any(w.lower() in fixes or _figures_among_letters(w) for _, _, w in line):
                 continue
             options = []
             for _, _, w in line:
                 low = w.lower()
-                n = float(common.get(hash_of(low), 1))
-                if low not in fixes:
-                    options.append([(low, n, 1.0)])
-                    continue
-                # a figure within a word is never printed; a rare word of letters may be
-                cands = [(c["c"], float(c["nc"]), max(1e-4, float(c["p"]) * 0.05)) for c in fixes[low]]
-                options.append(cands if _ALIEN.search(low) else [(low, 0.5, 0.5), *cands])
+                alien = bool(_ALIEN.search(low))
+                cands = [(c["c"], float(c["nc"]), max(1e-4, float(c["p"]) * 0.05)) for c in fixes.get(low, ())]
+                if alien and not cands and _figures_among_letters(low):
+                    # no word of the corpus: the likeliest reading is a word never met
+                    cands = [(c, UNMET, 0.05) for c in list(readings(low))[:1]]
+                n = float(count.get(hash_of(low), 1))
+                if alien:
+                    # as printed: a word of that form, the more likely the more often it is met
+                    cands.append((low, n, PRINTED))
+                elif low in fixes:
+                    cands.insert(0, (low, 0.5, 0.5))
+                else:
+                    cands = [(low, n, 1.0)]
+                options.append(cands)
             yield i, line, options
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = set()
             for r in pdf.itertuples():
-                fixes = dict(r.fixes)
-                for _, _, options in lattice(joined(r)[0], fixes):
+                for _, _, options in lattice(joined(r)[0], dict(r.fixes) if r.fixes is not None else {}, {}):
+                    out |= {(r.id, h) for x in options for c in x if (h := hash_of(c[0])) not in common}
                     for a, b in zip(options, options[1:], strict=False):
                         if len(a) + len(b) > 2:
                             out |= {(r.id, h) for x in a for y in b if (h := bigram_hash(hash_of(x[0]), hash_of(y[0]))) not in common}
             yield pd.DataFrame(sorted(out), columns=["id", "h"])
 
-    some = pages.where("fixes is not null").mapInPandas(pairs, "id bigint, h bigint")
+    # the counts of the words of those lines, and of their pairs
+    some = pages.where(F.col("fixes").isNotNull() | F.col("content").rlike(r"\p{L}[\d+|!$@€]|[\d+|!$@€]\p{L}")).mapInPandas(pairs, "id bigint, h bigint")
     likely = some.join(counts, "h").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("pairs"))
     pages = pages.join(likely, "id", "left")
 
@@ -435,8 +500,8 @@ def repair_pages(rows: DataFrame, corpus: DataFrame | None = None, key: str = "i
                 kinds = [k for k, on in (("header", p.head), ("hyphen", divided), ("pageno", p.number)) if on]
                 fixes = dict(r.fixes) if r.fixes is not None else {}
                 pair = ChainMap(dict(r.pairs) if r.pairs is not None else {}, common)
-                misread = any(_misread(w) for line in p.words() for _, _, w in line)
-                for i, line, options in lattice(p, fixes):
+                misread = False
+                for i, line, options in lattice(p, fixes, pair):
                     printed = decode(options, pair, total)
                     x = p.lines[i]
                     for (a, b, w), c in sorted(zip(line, printed, strict=True), key=lambda z: -z[0][0]):
@@ -450,7 +515,7 @@ def repair_pages(rows: DataFrame, corpus: DataFrame | None = None, key: str = "i
     return pages.mapInPandas(finish, "id bigint, kinds array<string>, text string").withColumnRenamed("id", key)
 
 
-def _misread(w: str) -> bool:
-    """A word of at least three letters with a figure or sign among them, known or not."""
+def _figures_among_letters(w: str) -> bool:
+    """Figures or signs in a word of at least three letters, which are the greater part."""
     letters = sum(c.isalpha() for c in w)
     return letters >= 3 and bool(_ALIEN.search(w)) and letters > len(w) - letters
