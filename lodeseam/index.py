@@ -20,19 +20,40 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def read_table(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """A table of the store, empty if it is not there yet."""
+def _current(spark: SparkSession, store: str, name: str) -> str | None:
+    """The folder of the version that counts, or none."""
     fs, p = _fs(spark, os.path.join(store, name))
-    return spark.read.schema(TABLES[name]).parquet(os.path.join(store, name)) if fs.exists(p) else spark.createDataFrame([], TABLES[name])
+    versions = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    done = sorted(v for v in versions if v.startswith("v") and fs.exists(_fs(spark, os.path.join(store, name, v, "_SUCCESS"))[1]))
+    return os.path.join(store, name, done[-1]) if done else None
+
+
+def read_table(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """A table of the store as of its last finished version, empty if it is not there yet."""
+    at = _current(spark, store, name)
+    return spark.read.schema(TABLES[name]).parquet(at) if at else spark.createDataFrame([], TABLES[name])
 
 
 def replace_table(df: DataFrame, store: str, name: str) -> None:
-    """Write beside the old table, then take its place; readers see one or the other."""
+    """Write a new version beside the old one. It counts from the moment its last file, which marks it as finished, is there; older ones go after that.
+
+    Readers, and a run that is broken off anywhere, see the one or the other, whole.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(os.path.join(store, f"_{name}"))
-    fs, old = _fs(spark, os.path.join(store, name))
-    fs.delete(old, True)
-    fs.rename(_fs(spark, os.path.join(store, f"_{name}"))[1], old)
+    old = _current(spark, store, name)
+    no = int(os.path.basename(old)[1:]) + 1 if old else 0
+    new = f"v{no:012d}"
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(os.path.join(store, name, new))
+    fs, folder = _fs(spark, os.path.join(store, name))
+    for x in fs.listStatus(folder):
+        if x.getPath().getName() < new:
+            fs.delete(x.getPath(), True)
+
+
+def append_table(df: DataFrame, store: str, name: str) -> None:
+    """Add rows to a table of the store, in a new version of it."""
+    before = read_table(df.sparkSession, store, name)
+    replace_table(before.unionByName(df.select(*before.columns)), store, name)
 
 
 def chunk_units(units: DataFrame) -> DataFrame:
@@ -46,7 +67,7 @@ def chunk_units(units: DataFrame) -> DataFrame:
 
 
 def build_index(spark: SparkSession, folder: str, store: str, force: bool = False, settings: Settings | None = None, provider: EmbeddingProvider | None = None) -> DataFrame:
-    """``filename, state`` of what was found, after bringing ``documents`` and ``indexed_files`` of ``store`` up to date.
+    """``filename, state, error`` of what was found, after bringing ``documents`` and ``indexed_files`` of ``store`` up to date.
 
     New and changed files (by content or by model) are loaded, chunked, embedded and added without repeating a
     text that is there; rows of changed and deleted files are removed first. ``force`` indexes everything anew.
@@ -60,7 +81,11 @@ def build_index(spark: SparkSession, folder: str, store: str, force: bool = Fals
     docs = read_table(spark, store, "documents")
     kept = cut_lineage((docs.limit(0) if force else docs).join(stale.select(F.col("filename").alias("source")), "source", "left_anti"))
     changed = stale.where("state <> 'deleted'").select(F.col("filename").alias("source")).join(found.withColumnRenamed("filename", "source"), "source")
-    units = files.load_folder(spark, folder).join(changed, "source", "left_semi")
+    # only the files that changed are parsed; one that cannot be is not registered, so that it is tried again
+    units = cut_lineage(files.load_folder(spark, folder, only=changed.select(F.col("source").alias("path")), errors=True))
+    broken = cut_lineage(units.where("error is not null").select("source", "error"))
+    changed = changed.join(broken, "source", "left_anti")
+    units = units.where("error is null")
     chunks = chunk_units(units).join(changed, "source").withColumn("order", F.concat_ws("|", "source", F.lpad(F.coalesce(F.col("page").cast("string"), F.lit("")), 8, "0"), F.lpad(F.col("no").cast("string"), 8, "0")))
     fresh = maintenance.new_rows(chunks, kept, "content", "order").withColumn("vector", embed(F.col("content"), provider))
     vector, valid = mask_failures(F.col("vector"), F.col("media_type"))
@@ -73,7 +98,7 @@ def build_index(spark: SparkSession, folder: str, store: str, force: bool = Fals
     known = registry.join(states.where("state = 'deleted'").select("filename"), "filename", "left_anti")
     merged = maintenance.upsert_registry(known, changed.select(F.col("source").alias("filename"), "file_hash"), settings.embed_signature)
     replace_table(merged.select(F.xxhash64("filename").alias("id"), "filename", "file_hash", "embed_model", F.expr("localtimestamp()").alias("processed_at")), store, "indexed_files")
-    return states
+    return states.join(broken.withColumnRenamed("source", "filename"), "filename", "left")
 
 
 def enrich(spark: SparkSession, store: str, provider: EmbeddingProvider | None = None) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.functions.text import bridge_query, calculator, is_useful, parse_action, words
+from lodeseam.operators.judge import is_complex
 from lodeseam.providers import LLMProvider, complete
 from lodeseam.session import cut_lineage
 
@@ -34,14 +35,21 @@ def mark_unverified(sentence: Column, similarity: Column, threshold: float = 0.7
 
 
 class ScriptedReasoner(LLMProvider):
-    """The offline reasoner: search for the question, then answer with what was observed."""
+    """The offline reasoner: search for the question, then, ``hops`` times in all, for what the last observation begins with; then answer with what was observed."""
+
+    def __init__(self, hops: int = 1) -> None:
+        self.hops = hops
 
     def complete(self, prompts: list[str]) -> list[str | None]:
         out = []
         for p in prompts:
-            question, _, seen = p.partition("\nObservation: ")
-            question = question.removeprefix("Question: ").split("\n")[0]
-            out.append(f"Thought: enough is known.\nFINAL ANSWER: {seen.strip()}" if seen.strip() else f'Thought: look it up.\nAction: search("{question}")')
+            question, *seen = p.split("\nObservation: ")
+            seen = [s.strip() for s in seen if s.strip()]
+            if len(seen) >= self.hops:
+                out.append("Thought: enough is known.\nFINAL ANSWER: " + "\n".join(seen))
+                continue
+            ask = " ".join(seen[-1].replace('"', " ").replace("(", " ").replace(")", " ").split()[:12]) if seen else question.removeprefix("Question: ").split("\n")[0]
+            out.append(f'Thought: {"this leads on" if seen else "look it up"}.\nAction: search("{ask}")')
         return out
 
 
@@ -105,3 +113,22 @@ def plan_execute(plans: DataFrame, search: Callable[[DataFrame], DataFrame]) ->
     useful = seen.where(is_useful(F.col("o")) | (F.col("figures").isNotNull() & ~F.startswith("o", F.lit("Calculator error"))))
     joined = useful.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "o"))), lambda s: s["o"]), "\n\n").alias("answer"))
     return plans.select("question_id").join(joined, "question_id", "left").select("question_id", F.coalesce("answer", F.lit(NOTHING_FOUND)).alias("answer"))
+
+
+def run_agent(questions: DataFrame, search: Callable[[DataFrame], DataFrame], mode: str = "react", provider: LLMProvider | None = None, least: int = 50) -> DataFrame:
+    """``query_id, answer, way``: complex questions by the loop of ``mode`` (``react`` or ``ircot``), if its answer has more than ``least`` characters; all others by plan.
+
+    A plan is the numbered lines that a complex question holds, or the question alone. ``way`` is ``react``, ``ircot`` or ``plan``.
+    """
+    if mode not in ("react", "ircot"):
+        raise ValueError("mode must be react or ircot")
+    q = cut_lineage(questions.select("query_id", "query", is_complex(F.col("query")).alias("complex")))
+    hard = q.where("complex")
+    loop = run_react if mode == "react" else run_ircot
+    tried = loop(hard, search, provider).select("query_id", "answer").where((F.length("answer") > least) & (F.col("answer") != NOTHING_FOUND))
+    tried = cut_lineage(tried)
+    rest = q.join(tried, "query_id", "left_anti")
+    lines = F.filter(F.split("query", "\n"), lambda x: F.trim(x) != "")
+    plans = rest.select(F.col("query_id").alias("question_id"), F.when(F.col("complex") & (F.size(lines) > 1), lines).otherwise(F.array("query")).alias("steps"))
+    planned = plan_execute(plans, search).select(F.col("question_id").alias("query_id"), "answer", F.lit("plan").alias("way"))
+    return tried.withColumn("way", F.lit(mode)).unionByName(planned)

@@ -137,7 +137,7 @@ def resolve_hierarchy(rows: DataFrame, id: str = "id", parent: str = "parent_id"
     nodes = cut_lineage(nodes.select("id", F.when(F.col("there"), F.col("up")).alias("ptr"), F.col("up2")))
     # a parent is a top row if it has no parent, or one that has no row
     roots = nodes.where("ptr is null").select(F.col("id").alias("ptr"), F.lit(True).alias("top"))
-    start = salted_lookup(nodes.select("id", "ptr"), roots, "ptr", "id", [h for h in hot if h is not None])
+    start = salted_lookup(nodes.select("id", "ptr"), roots, "ptr", "id", hot)
     start = start.select(
         "id",
         "ptr",

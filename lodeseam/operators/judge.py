@@ -6,7 +6,7 @@ its place column for column, and what a failed call gives is the stated default.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.functions.text import sentences, strip, words
@@ -66,3 +66,34 @@ def qa_pairs(text: Column, most: int = 3) -> Column:
     """array(struct(question, answer)): the first sentences that state a figure, each asked for."""
     stated = F.slice(F.filter(sentences(text), lambda s: s.rlike(r"\d") & (F.length(s) > 20)), 1, most)
     return F.transform(stated, lambda s: F.struct(F.concat(F.lit("Which figure is missing: "), F.regexp_replace(s, r"\d+(?:[.,]\d+)?", "…"), F.lit("?")).alias("question"), s.alias("answer")))
+
+
+def contradictions(rows: DataFrame) -> DataFrame:
+    """``id_a, id_b``: rows (``id, parent_id, content``) below one row that agree but for their figures.
+
+    Joined on their words, and copies first made one: only texts with different figures meet, then the ids of each text.
+    """
+    b = rows.where("parent_id is not null and content is not null").withColumn("bare", F.sha2(F.regexp_replace(F.lower("content"), r"\d+(?:[.,]\d+)?", "#"), 256))
+    b = b.withColumn("figures", F.sha2(F.array_join(F.regexp_extract_all("content", F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)), " "), 256))
+    kinds = b.select("parent_id", "bare", "figures").distinct()
+    met = kinds.withColumnRenamed("figures", "fa").join(kinds.withColumnRenamed("figures", "fb"), ["parent_id", "bare"]).where("fa <> fb")
+    one = lambda f, i: b.select("parent_id", "bare", F.col("figures").alias(f), F.col("id").alias(i))
+    return met.join(one("fa", "id_a"), ["parent_id", "bare", "fa"]).join(one("fb", "id_b"), ["parent_id", "bare", "fb"]).where("id_a < id_b").select("id_a", "id_b")
+
+
+def reformulate(question: Column) -> Column:
+    """The offline second wording of a question: its words of more than three letters, or the question if none is left."""
+    kept = F.array_join(F.filter(words(question), lambda w: F.length(w) > 3), " ")
+    return F.when(kept != "", kept).otherwise(question)
+
+
+def sub_questions(question: Column, most: int = 4) -> Column:
+    """The offline plan of a complex question: the question itself and the parts that its conjunctions join."""
+    parts = F.filter(F.transform(F.split(question, r"(?i)\s+(?:and|und|et|y)\s+|[?;]\s+"), strip), lambda x: F.size(words(x)) > 2)
+    return F.when(is_complex(question) & (F.size(parts) > 1), F.slice(F.array_distinct(F.concat(F.array(question), parts)), 1, most)).otherwise(F.array(question))
+
+
+def rewrite_by_history(question: Column, last: Column) -> Column:
+    """The offline rewriting of a question that leans on the one before: a short one that opens with a pronoun or a conjunction gets the last question's words."""
+    leans = F.lower(question).rlike(r"^(?:and|but|it|they|he|she|that|this|those|these|und|aber|es|sie|et|mais|il|elle|y|pero)\b") & (F.size(words(question)) <= 8)
+    return F.when(leans & F.coalesce(last != "", F.lit(False)), F.concat_ws(" ", last, question)).otherwise(question)

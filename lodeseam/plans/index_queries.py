@@ -9,7 +9,7 @@ from lodeseam import providers
 from lodeseam.functions import text
 from lodeseam.operators import agent, conversation, evaluate, maintenance
 from lodeseam.operators.retrieval import top_k
-from lodeseam.plans.retrieval_queries import EMB, agent_chain
+from lodeseam.plans.retrieval_queries import EMB, observations
 from lodeseam.plans.text_queries import IX, QA, TRIM, WORDS, _index, _qa
 from lodeseam.session import table
 
@@ -182,8 +182,8 @@ def score_stats(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    e = _evals(spark, d).select("id", evaluate.score(F.col("faithfulness")).alias("f")).orderBy(F.sha2(F.col("id").cast("string"), 256)).limit(50)
-    return evaluate.interval(e, "f")
+    """The interval of the mean over all stored scores."""
+    return evaluate.interval(_evals(spark, d).select(evaluate.score(F.col("faithfulness")).alias("f")), "f")
 
 
 @query(f"select id, question from {QA} order by sha256(id || '-42'), id limit 50")
@@ -261,16 +261,21 @@ _SENTS = r"(select id * 1000 + generate_subscripts(s, 1) id, id qa_id, chunk_id,
 
 
 @query(
-    f"with s as {_SENTS}, se as {EMB.format(w=WORDS.format('t'), t='s')}, ce as {EMB.format(w=WORDS.format('content'), t=IX.format('content'))}, m as (select s.id, round(sum(se.w * ce.w), 6) sim from s join se using (id) join ce on ce.id = s.chunk_id and ce.dim = se.dim group by 1) "
+    f"with s as {_SENTS}, ix as {IX.format('content, parent_id')}, se as {EMB.format(w=WORDS.format('t'), t='s')}, ce as {EMB.format(w=WORDS.format('content'), t='ix')}, "
+    "k as (select id chunk_id, id other from ix union select a.id, b.id from ix a join ix b on a.parent_id = b.id), mm as (select s.id, k.other, round(sum(se.w * ce.w), 6) sim from s join se using (id) join k on k.chunk_id = s.chunk_id join ce on ce.id = k.other and ce.dim = se.dim group by 1, 2), m as (select id, max(sim) sim from mm group by 1) "
     f"select qa_id, no, case when length(trim(t)) < 15 or lower(trim(t)) in {agent.CONNECTIVES!r} or coalesce(sim, 0) >= 0.75 then t else '[Unverified] ' || trim(t) end sentence from s left join m using (id) where chunk_id in (select id from doc_index)"
 )
 def cite_enforce(spark, d):
     q = _qa(spark, d).where("answer is not null and chunk_id is not null")
     s = q.select(F.col("id").alias("qa_id"), "chunk_id", F.posexplode(F.split("answer", r"(?<=[.!?])\s+")).alias("no", "t"))
-    c = _index(spark, d, "content").select(F.col("id").alias("chunk_id"), providers.embed(F.col("content")).alias("cv"))
-    both = s.withColumn("sv", providers.embed(F.col("t"))).join(c, "chunk_id")
+    # a sentence is compared with the chunk asked about and with the row above it; the best counts
+    rows = _index(spark, d, "content", "parent_id")
+    c = rows.select("id", providers.embed(F.col("content")).alias("cv"))
+    up = rows.select(F.col("id").alias("chunk_id"), F.explode(F.array_distinct(F.array_compact(F.array("id", "parent_id")))).alias("id"))
+    both = s.withColumn("sv", providers.embed(F.col("t"))).join(up, "chunk_id").join(c, "id")
     dot = F.round(F.aggregate(F.zip_with("sv", "cv", lambda a, b: a * b), F.lit(0.0).cast("double"), lambda x, y: x + y), 6)
-    return both.select("qa_id", (F.col("no") + 1).cast("bigint").alias("no"), agent.mark_unverified(F.col("t"), dot).alias("sentence"))
+    best = both.groupBy("qa_id", "no", "t").agg(F.max(dot).alias("dot"))
+    return best.select("qa_id", (F.col("no") + 1).cast("bigint").alias("no"), agent.mark_unverified(F.col("t"), F.col("dot")).alias("sentence"))
 
 
 @query(f"select q.id, contains(lower(answer), lower(regexp_extract(source, '[^/]*$'))) mentioned from {QA} q join {IX.format('source')} i on q.chunk_id = i.id where answer is not null")
@@ -280,15 +285,15 @@ def source_mentioned(spark, d):
 
 
 def _search(spark: SparkSession, d: str):
-    """The agent's tool: the observations of the stated questions, looked up by the query."""
-    known = agent_chain(spark, d)
-    return lambda asked: asked.select("query_id").join(known, "query_id", "left")
+    """The agent's tool: whatever text is asked, the three best hits as one observation."""
+    return lambda asked: observations(spark, d, asked)
 
 
 @query()
 def react_trajectory(spark, d):
+    """Two searches at most: for the question, then for the text that its first observation begins with."""
     q = _qa(spark, d).where("id % 100 = 0 and question is not null").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
-    out = agent.run_react(q, _search(spark, d))
+    out = agent.run_react(q, _search(spark, d), agent.ScriptedReasoner(hops=2))
     return out.select("query_id", "answer", F.size("steps").alias("n_steps"))
 
 
@@ -299,14 +304,15 @@ def ircot_trajectory(spark, d):
 
 
 @query(
-    f"select id question_id, ((id + 7) * 2)::varchar answer from {QA} where question is not null"
+    f"select q.id question_id, ((q.id + 7) * 2)::varchar || coalesce(chr(10) || chr(10) || substring(i.content, 1, 200), '') answer from {QA} q left join {IX.format('content')} i on q.chunk_id = i.id and length(trim(i.content)) > 20 and regexp_matches(i.content, '^The ') where question is not null"
 )
 def plan_execute(spark, d):
-    """Plans of one calculation per question."""
-    step = F.concat(F.lit("please calculate ("), F.col("id").cast("string"), F.lit(" + 7) * 2"))
-    plans = _qa(spark, d).where("question is not null").select(F.col("id").alias("question_id"), F.array(step).alias("steps"))
-    nothing = lambda asked: asked.select("query_id", F.lit(None).cast("string").alias("observation"))
-    return agent.plan_execute(plans, nothing)
+    """Plans of two steps per question: a calculation, and a row to be looked up by its number, of which texts that begin with "The " are shown."""
+    steps = F.array(F.concat(F.lit("please calculate ("), F.col("id").cast("string"), F.lit(" + 7) * 2")), F.concat(F.lit("row "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("none"))))
+    plans = _qa(spark, d).where("question is not null").select(F.col("id").alias("question_id"), steps.alias("steps"))
+    rows = _index(spark, d, "content").where((F.length(F.trim("content")) > 20) & F.col("content").startswith("The "))
+    rows = rows.select(F.concat(F.lit("row "), F.col("id").cast("string")).alias("query"), F.substring("content", 1, 200).alias("observation"))
+    return agent.plan_execute(plans, lambda asked: asked.join(rows, "query", "left").select("query_id", "observation"))
 
 
 @query(f"select id, n from (select chunk_id, id, row_number() over (partition by chunk_id order by id) n from {QA} where chunk_id is not null) where n <= 3")

@@ -10,7 +10,7 @@ from lodeseam import providers
 from lodeseam.functions import text
 from lodeseam.operators import retrieval as R
 from lodeseam.plans.text_queries import IX, QA, SQL as _TEXT_SQL, WORDS, _index, _qa
-from lodeseam.session import table
+from lodeseam.session import cut_lineage, table
 
 QUERIES, SQL = {}, {}
 
@@ -104,19 +104,20 @@ SP = "(select distinct on (id) id, map_entries(sparse_vector) e from doc_index w
 
 @query(
     f"with s as (select id, unnest(e) x from {SP}), p as (select a.id query_id, b.id, round(sum(a.x.value * b.x.value), 6) score from s a join s b on a.x.key = b.x.key where a.id % 100 = 0 group by 1, 2) "
-    "select query_id, id, score from p where score > 0"
+    "select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) r from p where score > 0) where r <= 10"
 )
 def sparse_dot(spark, d):
     s = table(spark, d, "doc_index").where("sparse_vector is not null").select("id", F.col("sparse_vector").alias("v")).dropDuplicates(["id"])
-    return R.sparse_scores(s, s.where("id % 100 = 0").withColumnRenamed("id", "query_id")).where("score > 0")
+    scores = R.sparse_scores(s, s.where("id % 100 = 0").withColumnRenamed("id", "query_id")).where("score > 0")
+    return R.top_k(scores, "query_id", [F.desc("score"), F.col("id")], 10).drop("rank")
 
 
-def _hybrid(spark: SparkSession, d: str, k: int, include_propositions: bool = False) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, k: int, include_propositions: bool = False, questions: DataFrame | None = None) -> DataFrame:
     """Dense and lexical rankings of the questions over all texts, fused; propositions left out before ranking."""
     ix = _index(spark, d, "content", "level", "media_type").where(F.coalesce(F.col("media_type") != "image", F.lit(False)))
     if not include_propositions:
         ix = ix.where(~F.col("level").eqNullSafe(0))
-    q = _questions(spark, d)
+    q = _questions(spark, d) if questions is None else questions
     docs = ix.select("id", F.col("content").alias("text"))
     dense = R.knn(docs.select("id", providers.embed(F.col("text")).alias("v")), q.select("query_id", providers.embed(F.col("query")).alias("v")), k)
     lexical = R.top_k(R.bm25_scores(docs, q).where("score > 0"), "query_id", [F.desc("score"), F.col("id")], 2 * k)
@@ -124,7 +125,7 @@ def _hybrid(spark: SparkSession, d: str, k: int, include_propositions: bool = Fa
     return R.fuse(dense, lexical, alpha, k)
 
 
-def _fused_sql(k: int, where: str) -> str:
+def _fused_sql(k: int, where: str, Q: str = Q) -> str:
     ix = f"(select distinct id, content from doc_index where media_type <> 'image' and {where})"
     alpha = _TEXT_SQL["select_alpha"].split(" alpha from ")[0].replace("select id, ", "").replace("question", "query").replace("then 0.75", "then 0.55")
     return (
@@ -210,18 +211,13 @@ def _token_vectors(c):
 @query(
     f"with qw as (select query_id, generate_subscripts(w, 1) i, sha256(unnest(w)) h from (select query_id, {WORDS.format('query')} w from {Q})), qv as (select query_id, i, list_transform(range(0, 8), lambda j: ('0x' || substr(h, (2 * j + 1)::bigint, 2))::int / 127.5::double - 1) v from qw), "
     "dv as (select distinct on (id) id, colbert_vecs from doc_index where colbert_vecs is not null), d as (select id, unnest(colbert_vecs)::double[] v from dv), "
-    "m as (select query_id, id, i, max(list_dot_product(qv.v, d.v) / sqrt(list_dot_product(qv.v, qv.v))) m from qv, d group by 1, 2, 3) "
-    "select query_id, id, round(avg(m), 5) score from m group by 1, 2"
+    "m as (select query_id, id, i, max(list_dot_product(qv.v, d.v) / sqrt(list_dot_product(qv.v, qv.v))) m from qv, d group by 1, 2, 3), "
+    "a as (select query_id, id, round(avg(m), 5) score from m group by 1, 2) select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) r from a) where r <= 10"
 )
 def maxsim(spark, d):
-    """Late interaction of the questions with every row that has token vectors, in blocks of questions."""
+    """Late interaction of the questions with every row that has token vectors; the ten best of each question."""
     docs = table(spark, d, "doc_index").where("colbert_vecs is not null").select("id", F.col("colbert_vecs").cast("array<array<double>>").alias("dv")).dropDuplicates(["id"])
-    q = _questions(spark, d).select("query_id", _token_vectors(F.col("query")).alias("qv"))
-    # the question set is spread over the documents' tasks by a block number, not broadcast
-    blocks = 8
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    docs = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    return q.join(docs, "block").select("query_id", "id", F.round(R.max_sim(F.col("qv"), F.col("dv")), 5).alias("score"))
+    return R.max_sim_top(docs, _questions(spark, d).select("query_id", _token_vectors(F.col("query")).alias("qv")), 10, 5)
 
 
 @query()
@@ -251,23 +247,37 @@ def retrieve_chain(spark, d):
     return retrieve_chain_hits(spark, d).select("query_id", "id", "ce", "place")
 
 
-@query()
-def agent_chain(spark, d):
-    """Three reranked hits as one observation per question."""
-    h = _texts(spark, d, _hybrid(spark, d, 10)).withColumn("ce", F.round(providers.rerank_score(F.col("query"), F.col("text")), 6)).withColumnRenamed("rank", "r").drop("score")
+def observations(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    """``query_id, observation``: the three best reranked hits of whatever is asked (``query_id, query``) as one text."""
+    asked = cut_lineage(asked.select("query_id", "query"))
+    h = _hybrid(spark, d, 10, questions=asked).join(_index(spark, d, F.col("content").alias("text"), "source", "page"), "id").join(asked, "query_id")
+    h = h.withColumn("ce", F.round(providers.rerank_score(F.col("query"), F.col("text")), 6)).withColumnRenamed("rank", "r").drop("score")
     three = R.top_k(h, "query_id", [F.desc("ce"), F.col("r")], 3).withColumn("s", text.snippet(F.col("source"), F.col("page"), F.col("text")))
     return three.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "s"))).alias("l")).select("query_id", F.array_join("l.s", "\n\n---\n\n").alias("observation"))
 
 
+@query()
+def agent_chain(spark, d):
+    return observations(spark, d, _questions(spark, d))
+
+
+#: The second sub-query of a question: what stands behind its first three words.
+_REST = r"^(?:\S+\s+){1,3}"
+Q2 = f"(select query_id, regexp_replace(query, '{_REST}', '') query from {Q})"
+
+
 @query(
-    f"with {_fused_sql(15, 'level is distinct from 0')}, h as (select query_id question_id, id, \"rank\" r, score, 1 query_no from hy union all select query_id, id, \"rank\", score / 2, 2 from hy where \"rank\" % 2 = 1), "
+    f"with a as (with {_fused_sql(15, 'level is distinct from 0')} select * from hy), b as (with {_fused_sql(15, 'level is distinct from 0', Q2)} select * from hy), "
+    "h as (select query_id question_id, id, \"rank\" r, score, 1 query_no from a union all select query_id, id, \"rank\", score, 2 from b), "
     "f as (select *, first_value(query_no) over w fq, first_value(r) over w fr, row_number() over (partition by question_id, id order by query_no desc, r desc) l from h window w as (partition by question_id, id order by query_no, r)) "
     "select question_id, id, fq::int first_query, fr::int first_rank, score from f where l = 1"
 )
 def multi_query_union(spark, d):
-    h = _hybrid(spark, d, 15).select(F.col("query_id").alias("question_id"), "id", "rank", "score")
-    both = h.withColumn("query_no", F.lit(1)).unionByName(h.where("rank % 2 = 1").withColumn("score", F.col("score") / 2).withColumn("query_no", F.lit(2)))
-    return R.union_hits(both)
+    """Two searches per question, one for it and one for its end alone, and the union of their hits."""
+    q = _questions(spark, d)
+    searches = [q, q.withColumn("query", F.regexp_replace("query", _REST, ""))]
+    hits = [_hybrid(spark, d, 15, questions=x).select(F.col("query_id").alias("question_id"), "id", "rank", "score").withColumn("query_no", F.lit(i + 1)) for i, x in enumerate(searches)]
+    return R.union_hits(hits[0].unionByName(hits[1]))
 
 
 @query(

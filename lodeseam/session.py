@@ -8,10 +8,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that hold more than 1/HOT_SHARE of the rows (and HOT_FLOOR rows) count as hot, so there
-#: are never more than HOT_SHARE of them, however large the table is.
+#: Keys that hold more than 1/HOT_SHARE of the rows (and HOT_FLOOR rows), or more than TASK_ROWS, count as hot. So no task
+#: gets more than TASK_ROWS rows of a key, and a table of n rows has at most HOT_SHARE + n/TASK_ROWS hot keys.
 HOT_SHARE = 2000
 HOT_FLOOR = 20_000
+TASK_ROWS = 5_000_000
+#: Tasks that a hot key is spread over at least.
 SALTS = 32
 
 
@@ -25,9 +27,10 @@ def build_session(master: str = "local[*]", app: str = "lodeseam", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.unionOutputPartitioning": "false",
     }
+    if master.startswith("local["):
+        defaults["spark.sql.shuffle.partitions"] = "8"  # a cluster sets its own
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -45,11 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) set one."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset and all runs in one process (tests) set one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodeseam-checkpoint-"))
 
 
@@ -68,26 +73,42 @@ def cut_lineage(df: DataFrame, looped: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False), spark)
 
 
+class HotKeys(list):
+    """The hot keys, and over how many tasks each is to be spread."""
+
+    salts: dict
+
+
 def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
-    """The keys that hold an unusual share of ``df``: at most HOT_SHARE values reach the driver."""
+    """The keys that hold an unusual share of ``df``, or more rows than a task should; only these reach the driver."""
+    hot = HotKeys()
+    hot.salts = {}
     if rows is not None and rows < HOT_FLOOR:
-        return []
+        return hot
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     if rows is None:
         rows = df.count()
-    limit = max(HOT_FLOOR, rows // HOT_SHARE)
-    return [r[0] for r in counts.where(F.col("n") > limit).select(key).collect()]
+    limit = max(HOT_FLOOR, min(rows // HOT_SHARE, TASK_ROWS))
+    for r in counts.where(F.col("n") > limit).collect():
+        hot.append(r[0])
+        # powers of two, so that there are few kinds
+        hot.salts[r[0]] = max(SALTS, 1 << (r["n"] // TASK_ROWS).bit_length())
+    return hot
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, spread: str, hot: list, how: str = "left") -> DataFrame:
-    """``left`` joined with ``right`` (unique per ``key``); rows of the hot keys are spread over SALTS tasks.
+    """``left`` joined with ``right`` (unique per ``key``); rows of the hot keys are spread over several tasks.
 
     ``spread`` is a column of ``left`` whose hash chooses the salt, so that a retried task repeats it.
     """
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    l = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    r = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    kinds: dict[int, list] = {}
+    for k in hot:
+        kinds.setdefault(getattr(hot, "salts", {}).get(k, SALTS), []).append(k)
+    salts = F.lit(1)
+    for n, keys in kinds.items():
+        salts = F.when(F.col(key).isin(keys), F.lit(n)).otherwise(salts)
+    l = left.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), salts).cast("int"))
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return l.join(r, [key, "_salt"], how).drop("_salt")

@@ -28,6 +28,11 @@ READERS = {
 }
 
 
+IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tif", ".tiff")
+#: Fixed value: stands for an image that could not be described.
+NO_DESCRIPTION = "Image description unavailable."
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
@@ -145,12 +150,20 @@ def read_pdf(data: bytes) -> Iterator[tuple]:
                 yield f"Image from page {no}", no, "pdf_image", "image", "image", True
 
 
-def load_folder(spark: SparkSession, folder: str, transcribe=None, recognise=None, most: int = MAX_BYTES) -> DataFrame:
-    """All units of all files, in the columns of UNITS.
+def _described(describe, data: bytes) -> str:
+    try:
+        return describe(data) or NO_DESCRIPTION
+    except Exception:  # noqa: BLE001
+        return NO_DESCRIPTION
+
+
+def load_folder(spark: SparkSession, folder: str, transcribe=None, recognise=None, most: int = MAX_BYTES, only: DataFrame | None = None, describe=None, errors: bool = False) -> DataFrame:
+    """All units of all files (or of the files whose ``path`` is in ``only``), in the columns of UNITS and ``error``.
 
     Texts are cleaned and empty ones dropped, images kept. ``transcribe`` and ``recognise`` (bytes to text)
-    stand for speech and character recognition; without them such files give nothing. A file that cannot be
-    read gives nothing either.
+    stand for speech and character recognition; without them such files give nothing. ``describe`` (bytes to text) stands
+    for a model that describes images; where it fails, a fixed sentence stands. A file that cannot be read gives nothing
+    or, with ``errors``, one row of nothing but its source and the ``error``.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,15 +182,20 @@ def load_folder(spark: SparkSession, folder: str, transcribe=None, recognise=Non
                             units = list(read_pdf(data)) or ([(recognise(data), None, "pdf_ocr", "text", None, False)] if recognise else [])
                         case "media_transcript":
                             units = [(transcribe(data), None, kind, "text", None, False)] if transcribe and len(data) <= 25 * 1024 * 1024 else []
+                        case _ if path.lower().endswith(IMAGES):
+                            units = [(_described(describe, data) if describe else path.rsplit("/", 1)[-1], None, kind, "image", None, describe is None)]
                         case _:
                             units = [(data.decode("utf-8", errors="replace"), None, kind, "text", None, False)]
-                except Exception:  # noqa: BLE001
+                except Exception as e:  # noqa: BLE001
                     units = []
-                out += [(t, path, p, k, m, None, s, v) for t, p, k, m, s, v in units]
-            yield pd.DataFrame(out, columns=["text", "source", "page", "doc_type", "media_type", "media_path", "structure_type", "needs_vlm_description"])
-
-    files = list_files(spark, folder, most).select("path", route(F.col("path")).alias("kind"), "content")
-    units = files.mapInPandas(read, UNITS)
+                    out.append(("", path, None, kind, None, None, None, False, f"{type(e).__name__}: {e}"))
+                out += [(t, path, p, k, m, None, s, v, None) for t, p, k, m, s, v in units]
+            yield pd.DataFrame(out, columns=["text", "source", "page", "doc_type", "media_type", "media_path", "structure_type", "needs_vlm_description", "error"])
+
+    files = list_files(spark, folder, most)
+    if only is not None:
+        files = files.join(only.select("path").distinct(), "path", "left_semi")
+    units = files.select("path", route(F.col("path")).alias("kind"), "content").mapInPandas(read, UNITS + ", error string")
     text = F.when(F.col("doc_type") == "local_html", visible_text(F.col("text"))).otherwise(F.col("text"))
     cleaned = F.when(F.col("media_type") == "image", F.col("text")).otherwise(clean_text(text))
-    return units.withColumn("text", cleaned).where("text <> ''")
+    return units.withColumn("text", cleaned).where("text <> '' or error is not null" if errors else "text <> ''")

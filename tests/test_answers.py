@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseam import pipeline, schema
+from lodeseam import index, pipeline, schema
 from lodeseam.functions import text
-from lodeseam.operators import judge
+from lodeseam.operators import agent, evaluate, judge
 from lodeseam.operators.cluster import cluster_vectors
 from lodeseam.operators.raptor import build_tree
 from lodeseam.providers import embed
@@ -72,3 +72,53 @@ def test_tables(spark, tmp_path):
     assert spark.table("made.documents").columns[:3] == ["id", "doc_hash", "doc_type"]
     schema.drop_tables(spark, "made")
     assert spark.sql("show tables in made").count() == 0
+
+
+def test_complex_questions_go_through_the_loop_and_others_by_plan(spark):
+    facts = {"pump": "The harbour pump holds 40 bar and is sealed by the keeper every spring.", "the harbour pump holds": "The keeper is named Orla."}
+    rows = spark.createDataFrame([(k, v) for k, v in facts.items()], "k string, observation string")
+
+    def search(asked):
+        hit = asked.join(rows, F.lower("query").contains(F.col("k")), "left")
+        return hit.groupBy("query_id").agg(F.max("observation").alias("observation"))
+
+    asked = spark.createDataFrame([(1, "Which pressure holds the pump and who seals it?"), (2, "pump"), (3, "nothing known and nothing found")], "query_id bigint, query string")
+    got = {r["query_id"]: (r["way"], r["answer"]) for r in agent.run_agent(asked, search, provider=agent.ScriptedReasoner(hops=2)).collect()}
+    # the second hop asks for what the first observation begins with, and both are in the answer
+    assert got[1][0] == "react" and "40 bar" in got[1][1] and got[1][1].count("\n") == 1
+    assert got[2] == ("plan", facts["pump"]) and got[3] == ("plan", agent.NOTHING_FOUND)
+    assert agent.run_agent(asked.limit(0), search).count() == 0
+
+
+def test_answers_are_remembered_and_asked_again_in_other_words(spark):
+    docs = spark.createDataFrame(
+        [(1, "The harbour pump holds 40 bar since the last audit.", "a.txt", 1, 1), (2, "The ledger is kept by the keeper.", "b.txt", None, 1)], "id bigint, text string, source string, page int, level int"
+    )
+    asked = spark.createDataFrame([(1, "what does the harbour pump hold since the audit"), (2, "hello"), (3, "zzz qqq")], "query_id bigint, query string")
+    first = pipeline.answer_questions(docs, asked)
+    cache = pipeline.remember(None, first)
+    assert cache.count() == 1 and pipeline.remember(cache, first).count() == 1
+    again = {r["query_id"]: r for r in pipeline.answer_questions(docs, asked, cache=cache).collect()}
+    assert again[1]["cached"] and "40 bar" in again[1]["answer"] and not again[3]["cached"]
+    parts = spark.createDataFrame([("who keeps the ledger and what holds the pump?",), ("short",)], "q string").select(judge.sub_questions(F.col("q")).alias("p"), judge.reformulate(F.col("q")).alias("r")).collect()
+    assert parts[0]["p"][1:] == ["who keeps the ledger", "what holds the pump?"] and parts[1]["p"] == ["short"] and parts[0]["r"] == "keeps ledger what holds pump?"
+    told = spark.createDataFrame([("and how old is it?", "which pump is sealed"), ("and how old is it?", None)], "q string, last string").select(judge.rewrite_by_history(F.col("q"), F.col("last")).alias("r")).collect()
+    assert [r["r"] for r in told] == ["which pump is sealed and how old is it?", "and how old is it?"]
+
+
+def test_the_gate_over_stored_scores_widens_the_search(spark, tmp_path):
+    store = str(tmp_path)
+    make = lambda v, at: spark.createDataFrame([(i + 100 * at, "q", v, v, v, v) for i in range(12)], "id bigint, query string, faithfulness double, answer_relevance double, context_recall double, overall double").selectExpr("*", f"timestamp_ntz'2024-01-0{at} 00:00:00' as evaluated_at")
+    index.append_table(make(0.9, 1), store, "eval_results")
+    assert not pipeline.is_degraded(index.read_table(spark, store, "eval_results"))
+    index.append_table(make(0.1, 2), store, "eval_results")
+    scores = index.read_table(spark, store, "eval_results")
+    assert scores.count() == 24 and pipeline.is_degraded(scores) and not pipeline.is_degraded(scores.limit(0))
+
+
+def test_an_interval_of_all_rows(spark):
+    got = evaluate.interval(spark.range(20_000).selectExpr("id / 20000D as v"), "v").first()
+    assert got["n"] == 20_000 and abs(got["mean"] - 0.5) < 1e-3 and 0.490 < got["low"] < got["mean"] < got["high"] < 0.510
+    same = evaluate.interval(spark.range(5).selectExpr("1.0D as v"), "v").first()
+    assert (same["low"], same["high"], same["n"]) == (1.0, 1.0, 5)
+    assert evaluate.interval(spark.range(0).selectExpr("1.0D as v"), "v").first()["n"] == 0
