@@ -121,10 +121,24 @@ def _longest(pieces: str) -> str:
     return f"list_max(list_transform({pieces}, lambda x: length(regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g'))))"
 
 
+def _looks(c: str) -> str:
+    """One form of a text in plain functions: enough for spaces, unseen characters, full-width and joined letters, accents and the letters of SAME_SHAPE."""
+    wide = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
+    one = {k: v for k, v in (wide | lookalike.SAME_SHAPE).items()} | {"\u212b": "\u00c5", "\u212a": "K", "\u2126": "\u03a9"}
+    # letters first: a Cyrillic letter and an accent would else be composed to a Cyrillic one
+    to = "".join(one.values()).replace("'", "''")
+    out = f"translate({c}, '{''.join(one)}', '{to}')"
+    for joined in ("ffi", "ffl", "ff", "fi", "fl"):
+        out = f"replace({out}, '{ {'ffi': chr(0xFB03), 'ffl': chr(0xFB04), 'ff': chr(0xFB00), 'fi': chr(0xFB01), 'fl': chr(0xFB02)}[joined] }', '{joined}')"
+    out = rf"regexp_replace(regexp_replace({out}, '\p{{Zs}}', ' ', 'g'), '[\p{{Cf}}\x{{34F}}\x{{115F}}\x{{1160}}\x{{17B4}}\x{{17B5}}\x{{180B}}-\x{{180D}}\x{{3164}}\x{{FE00}}-\x{{FE0F}}\x{{FFA0}}]', '', 'g')"
+    return f"nfc_normalize({out})"
+
+
 SQL: dict[str, str] = {
     "p2_found": "with v as (select distinct on (id) id, embedding::double[] v from doc_index where embedding_valid and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0), "
     "p as (select a.id a, b.id b, round(list_cosine_similarity(a.v, b.v), 9) c from v a join v b on a.id <> b.id), n as (select *, row_number() over (partition by a order by c desc, b) r from p where c >= 0.9) "
     "select distinct least(a, b) id_a, greatest(a, b) id_b from n where r <= 5",
+    "p10_found": f"with t as (select doc_id, text, {_looks('text')} l from documents where text is not null) select a.doc_id doc_id_a, b.doc_id doc_id_b from t a join t b on a.l = b.l and a.doc_id < b.doc_id and a.text <> b.text",
     "p4_found": f"with t as (select distinct id, replace(content, chr(13) || chr(10), chr(10)) c from doc_index where length(content) > 2048) select id, "
     + f"case when {_longest(f"regexp_split_to_array(c, '\\f|{_E}[ \\t]*{_E}')")} <= 2048 then 'paragraph' when {_longest(f"regexp_split_to_array(c, '\\f|{_E}')")} <= 2048 then 'line' "
     + f"when {_longest(f"regexp_split_to_array(regexp_replace(c, '([.!?]){_WS}', '\\1' || chr(1), 'g'), '\\f|{_E}|\\x01')")} <= 2048 then 'sentence' when {_longest(f"regexp_split_to_array(c, '{_WS}+')")} <= 2048 then 'word' else 'forced' end cut from t",
