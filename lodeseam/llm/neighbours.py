@@ -135,13 +135,13 @@ class Forest:
 
 
 def usual_cosine(sample: np.ndarray, n: int, k: int) -> float:
-    """The cosine at which a row has ``k`` of ``n`` others, by the spread of cosines in the sample, as if they were normal."""
+    """The cosine at which a row has twice ``k`` of ``n`` others (so that rows with fewer near them are served, too), by the spread of cosines in the sample, as if they were normal."""
     some = sample[:: max(1, len(sample) // 500)]
     c = (some @ sample.T).ravel()
     c = c[c < 0.999999]
-    if len(c) < 2 or n <= k:
+    if len(c) < 2 or n <= 2 * k:
         return 0.0
-    return float(np.clip(c.mean() + c.std() * NormalDist().inv_cdf(1 - k / n), 0.0, 0.999))
+    return float(np.clip(c.mean() + c.std() * NormalDist().inv_cdf(1 - 2 * k / n), 0.0, 0.999))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, lea
     depth = max(LEAST_DEPTH, math.ceil(math.log2(n / CELL_ROWS)))
     # a sample by the hash of the key: the same in every run
     share = min(1.0, FIT_ROWS / n)
-    chosen = reps.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < math.ceil(share * 1_000_000_000)).select("v").toPandas()
+    chosen = reps.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < math.ceil(share * 1_000_000_000)).select("id", "v").toPandas().sort_values("id")
     sample = _unit(np.stack(chosen["v"].to_numpy()).astype(np.float64) if len(chosen) else np.empty((0, dim)))
     forest = Forest(sample, depth, trees)
     # a cell whose share of the sample promises more than BLOCK_ROWS rows is indexed in parts
