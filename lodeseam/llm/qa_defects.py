@@ -2,7 +2,7 @@
 
 Empty answers are what is left of nothing once markup, labels and placeholders are gone; copies are found by
 greedy string tiling of each sentence with the question; refusals by a grammar over classes of words; another
-language by the script of the letters and, within one script, by a word model fitted on a bounded sample; truncation by a pushdown parser
+language by the script of the letters and, within one script, by a word model fitted on all pairs; truncation by a pushdown parser
 over fences, brackets, quotations, lists and markup, and by how the last sentence ends.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator, Sized
 from functools import cache
 from typing import NamedTuple
 
@@ -18,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: About so many rows are sampled to fit the word model, none of more characters.
-FIT_ROWS, FIT_CHARS = 20_000, 8_000
+from lodeseam.session import cut_lineage
+
+#: What a function word counts beforehand in the word model, and how often a word must be seen to tell anything.
+FUNCTION_COUNT, LEAST_COUNT = 20, 8
 #: Share of an answer's words that must be unknown in the question's language, none being frequent there, if so many words are to be in a language that has no model.
 UNKNOWN, UNKNOWN_WORDS = 0.8, 8
 #: Log odds by which an answer's language must beat the question's.
@@ -258,25 +261,50 @@ def is_refusal(answer: str) -> bool:
     return declined
 
 
+_LANGUAGES_OF = {w: [i for i, v in enumerate(FUNCTION_WORDS.values()) if w in v.split()] for v in FUNCTION_WORDS.values() for w in v.split()}
+
+
+def count_words(texts: Iterable[str]) -> dict[str, Counter]:
+    """The words of texts by language; a text is of the language whose function words lead by two."""
+    counts: dict[str, Counter] = {k: Counter() for k in FUNCTION_WORDS}
+    languages = list(FUNCTION_WORDS)
+    for t in texts:
+        found = [w.lower() for w in _WORD.findall(_QUOTED.sub(" ", t))]
+        votes = [0] * len(languages)
+        for w in found:
+            for i in _LANGUAGES_OF.get(w, ()):
+                votes[i] += 1
+        second, first = sorted(votes)[-2:]
+        if first >= second + 2:
+            counts[languages[votes.index(first)]].update(found)
+    return counts
+
+
 class WordModel:
     """Naive Bayes over words, by language; unknown words say nothing."""
 
     def __init__(self, texts: list[str]) -> None:
-        words = {k: v.split() for k, v in FUNCTION_WORDS.items()}
-        counts = {k: Counter({w: 20 for w in v}) for k, v in words.items()}
-        self.frequent = sets = {k: set(v) for k, v in words.items()}
-        for t in texts:
-            found = [w.lower() for w in _WORD.findall(_QUOTED.sub(" ", t))]
-            votes = sorted(((sum(w in s for w in found), k) for k, s in sets.items()), reverse=True)
-            if votes[0][0] >= votes[1][0] + 2:
-                counts[votes[0][1]].update(found)
+        counts = count_words(texts)
+        self._fit(counts, {k: sum(c.values()) for k, c in counts.items()}, {w for c in counts.values() for w in c if w not in _LANGUAGES_OF})
+
+    @classmethod
+    def of(cls, counts: dict[str, Counter], size: dict[str, int], others: int) -> WordModel:
+        """The model of counts by language, of which words that are too rare may be left out; ``size``: all words' sum, ``others``: how many words are not function words."""
+        model = cls.__new__(cls)
+        model._fit(counts, size, range(others))
+        return model
+
+    def _fit(self, counts: dict[str, Counter], size: dict[str, int], others: Sized) -> None:
+        self.frequent = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
+        self.languages = list(FUNCTION_WORDS)
+        counts = {k: counts[k] + Counter(dict.fromkeys(v, FUNCTION_COUNT)) for k, v in self.frequent.items()}
+        size = {k: size[k] + FUNCTION_COUNT * len(v) for k, v in self.frequent.items()}
+        n = len(others) + len(_LANGUAGES_OF)
         total = Counter()
         for c in counts.values():
             total.update(c)
-        size = {k: sum(c.values()) for k, c in counts.items()}
-        self.languages = list(counts)
         # words seen often enough to tell anything
-        self.odds = {w: [math.log((counts[k][w] + 0.5) / (size[k] + 0.5 * len(total))) for k in self.languages] for w, n in total.items() if n >= 8}
+        self.odds = {w: [math.log((counts[k][w] + 0.5) / (size[k] + 0.5 * n)) for k in self.languages] for w, m in total.items() if m >= LEAST_COUNT}
 
     def scores(self, words: list[str]) -> dict[str, float]:
         known = [o for w in words if (o := self.odds.get(w))]
@@ -465,14 +493,23 @@ def defect_of(model: WordModel, question: str | None, answer: str | None) -> str
     return "truncated" if is_truncated(answer) else None
 
 
-def fit_words(df: DataFrame, question: str = "question", answer: str = "answer", fit_rows: int = FIT_ROWS) -> WordModel:
-    """The word model of a sample of about ``fit_rows`` pairs of up to FIT_CHARS characters, chosen by the hash of the pair: the same in every run."""
-    n = df.count()
-    share = min(1.0, fit_rows / n) if n else 1.0
-    q, a = F.col(f"`{question}`"), F.col(f"`{answer}`")
-    some = df.select(q.alias("q"), a.alias("a")).where(F.length(F.concat_ws("", q, a)) <= FIT_CHARS).where(F.pmod(F.xxhash64("q", "a"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    rows = some.collect()
-    return WordModel([t for r in rows for t in r if t])
+def fit_words(df: DataFrame, question: str = "question", answer: str = "answer") -> WordModel:
+    """The word model of all pairs: words are counted in the tasks and summed; only those seen LEAST_COUNT times reach the driver."""
+    languages = list(FUNCTION_WORDS)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = count_words(t for c in ("q", "a") for t in pdf[c] if t)
+            words = sorted(set().union(*counts.values()))
+            yield pd.DataFrame({"word": pd.Series(words, dtype="object")} | {k: pd.Series([counts[k][w] for w in words], dtype="int64") for k in languages})
+
+    some = df.select(F.col(f"`{question}`").alias("q"), F.col(f"`{answer}`").alias("a"))
+    each = some.mapInPandas(count, "word string, " + ", ".join(f"{k} bigint" for k in languages))
+    words = cut_lineage(each.groupBy("word").agg(*[F.sum(k).alias(k) for k in languages]))
+    known = F.col("word").isin(list(_LANGUAGES_OF))
+    size = words.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in languages], F.count(F.when(~known, 1)).alias("others")).first()
+    rows = words.where(known | (sum(F.col(k) for k in languages) >= LEAST_COUNT)).collect()
+    return WordModel.of({k: Counter({r["word"]: r[k] for r in rows}) for k in languages}, size.asDict(), size["others"])
 
 
 def find_defects(df: DataFrame, key: str = "id", question: str = "question", answer: str = "answer", model: WordModel | None = None) -> DataFrame:
@@ -480,8 +517,8 @@ def find_defects(df: DataFrame, key: str = "id", question: str = "question", ans
 
     A null, or in effect empty, answer is ``empty`` whatever the question; with a null or empty question an
     answer can be no copy and in no other language. Repeated rows give repeated results. Whole texts are
-    parsed, however long. The word model is fitted on a bounded sample; all rules look at single pairs, so
-    the table is never shuffled.
+    parsed, however long. The word model is fitted on all pairs, of which only counts of words are shuffled; all
+    rules look at single pairs, so the table never is.
     """
     model = model or fit_words(df, question, answer)
 

@@ -42,3 +42,12 @@ def test_frame(spark):
     got = qa.find_defects(spark.createDataFrame(rows, "id bigint, question string, answer string, defect string")).collect()
     assert sorted((r["id"] or 0, r["defect"]) for r in got) == [(0, "empty"), (1, "empty"), (1, "empty"), (3, "truncated")]
     assert qa.find_defects(spark.createDataFrame([], "id bigint, question string, answer string")).count() == 0
+
+
+def test_word_model_counts_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    letters = F.translate((F.col("id") % 997).cast("string"), "0123456789", "abcdefghij")
+    df = spark.range(21_000).select("id", F.concat(F.lit("which is the "), letters).alias("question"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("das ist der Wert von x"), letters)).otherwise(F.repeat(F.lit("it is the whole "), 600)).alias("answer"))
+    got, want = qa.fit_words(df), qa.WordModel([t for r in df.collect() for t in r[1:]])
+    assert got.odds == want.odds and got.languages == want.languages
