@@ -1,11 +1,17 @@
 """Rankings that are made in the documents' tasks."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from lodeseam.functions.text import words
 from lodeseam.operators import retrieval as R
+from lodeseam.providers import EmbeddingProvider, _Slots
 
 
 def plan_of(df):
@@ -66,3 +72,37 @@ def test_inverted_file_meets_in_its_tasks(spark):
         mine = np.array([j for j in range(200) if cell[j] in looked])
         d = R._distances(x[i : i + 1], x[mine], "cosine", 6)[0]
         assert [at[i, k] for k in (1, 2, 3)] == list(mine[np.lexsort((mine, d))[:3]])
+
+
+@pytest.mark.parametrize("name", ["agent_chain", "attention_reorder", "cross_rerank", "legacy_mmr", "legacy_sources", "linear_hybrid", "mmr_select", "multi_query_union", "parent_expand", "source_citations", "ircot_trajectory", "quality_ppi"])
+def test_search_joins_no_postings(spark, monkeypatch, name):
+    """Every query that searches ranks documents in their own tasks; pairs of postings are for ids met more than once alone."""
+
+    def pairs(*args):
+        raise AssertionError("postings are joined with queries")
+
+    monkeypatch.setattr(R, "_bm25_sum", pairs)
+    assert queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_embedding_counts_words_of_a_whole_batch():
+    def one(t):
+        v = np.zeros(64)
+        for w in (t or "").lower().split():
+            h = hashlib.sha256(w.encode()).hexdigest()
+            v[int(h[:8], 16) % 64] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+        n = math.sqrt(v @ v)
+        return v / n if n else v
+
+    said = [None, "", "  \n", "a b a", "İx ß ÄÖ", "one " * 70, *(f"w{i} w{i % 7} x" for i in range(300))]
+    provider = EmbeddingProvider()
+    assert (np.stack(provider.embed(said)) == np.stack([one(t) for t in said])).all() and provider.embed([]) == []
+    slots = _Slots()
+    slots.most = 3  # words forgotten and met again have the same slot
+    assert [slots[w] for w in "abcdabcd"] == [_Slots()[w] for w in "abcdabcd"] and len(slots) <= 3
+
+
+def test_words_need_no_stripping(spark):
+    said = ["", "  ", " Ab  c \n", "x", None, "a b c"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "s string").select(words(F.col("s"))).collect()]
+    assert got == [None if s is None else s.lower().split() for s in said]
