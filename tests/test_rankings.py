@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from lodeseam.functions.text import words
 from lodeseam.operators import retrieval as R
+from lodeseam.plans import retrieval_queries as Q
 from lodeseam.providers import EmbeddingProvider, _Slots
 
 
@@ -106,3 +107,10 @@ def test_words_need_no_stripping(spark):
     said = ["", "  ", " Ab  c \n", "x", None, "a b c"]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "s string").select(words(F.col("s"))).collect()]
     assert got == [None if s is None else s.lower().split() for s in said]
+
+
+def test_union_of_searches_reads_the_documents_once(spark, monkeypatch):
+    asked, hybrid = [], Q._hybrid
+    monkeypatch.setattr(Q, "_hybrid", lambda *a, **k: asked.append(1) or hybrid(*a, **k))
+    got = Q.multi_query_union(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1 and {r[0] for r in got.select("first_query").distinct().collect()} == {1, 2}
