@@ -114,3 +114,9 @@ def test_union_of_searches_reads_the_documents_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "_hybrid", lambda *a, **k: asked.append(1) or hybrid(*a, **k))
     got = Q.multi_query_union(spark, "/root/testdata/sf0.001")
     assert len(asked) == 1 and {r[0] for r in got.select("first_query").distinct().collect()} == {1, 2}
+
+
+def test_answers_count_the_words_of_the_documents_once(spark, monkeypatch):
+    counted, stats = [], R.bm25_stats
+    monkeypatch.setattr(R, "bm25_stats", lambda docs: counted.append(1) or stats(docs))
+    assert queries()["answer_pipeline"](spark, "/root/testdata/sf0.001").count() and len(counted) == 1
